@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lockgrain.functions.jsontext import canonical, kind_of, read_object
+from lockgrain.session import bound_batches
 
 FIELDS = "array<struct<name:string,kind:string,value:string>>"
 BLOCK = 12  # revisions per window: 2**BLOCK
@@ -49,6 +50,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def schema_fingerprints(lockfiles: DataFrame, record_id: str = "lock_id") -> DataFrame:
     """(source_path, rev, id, fields) of each readable revision, once."""
+    bound_batches(lockfiles.sparkSession)
     rows = lockfiles.select(F.col("source_path").cast("string"), F.col("rev").cast("int"), F.col(record_id).cast("long").alias("id"), F.col("content").cast("string"))
     read = rows.where("content is not null").mapInArrow(_fingerprints, f"source_path string, rev int, id long, fields {FIELDS}")
     return read.where("fields is not null").groupBy("source_path", "rev").agg(F.min("id").alias("id"), F.min_by("fields", "id").alias("fields"))
@@ -241,6 +243,7 @@ def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def migrate(lockfiles: DataFrame) -> DataFrame:
     """One row per readable content in one schema, with the steps it took; unknown fields stay in ``extra``."""
+    bound_batches(lockfiles.sparkSession)
     rows = lockfiles.select(F.col("lock_id").cast("long"), F.col("source_path").cast("string"), F.col("parsed_as").cast("string"), F.col("rev").cast("int"), F.col("content").cast("string"))
     return rows.where("content is not null").mapInArrow(_unify, UNIFIED_SCHEMA)
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockgrain.functions.jsontext import read_object
+from lockgrain.session import bound_batches
 
 SEP = " > "
 FLAT_SCHEMA = "kind string, record_id long, parent_path string, item string"
@@ -111,6 +112,7 @@ def flatten_lock_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def flatten_locks(lockfiles: DataFrame, record_id: str | Column = "lock_id", content: str | Column = "content") -> DataFrame:
     """dependency and require rows of every readable content."""
+    bound_batches(lockfiles.sparkSession)
     col = lambda x: F.col(x) if isinstance(x, str) else x
     return lockfiles.select(col(record_id).cast("long").alias("record_id"), col(content).alias("content")).where("content is not null").mapInArrow(flatten_lock_tree, FLAT_SCHEMA)
 

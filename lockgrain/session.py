@@ -46,3 +46,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Bounds the bytes of one Arrow batch, so a batch of very long texts fits into a worker; a set bound stays."""
+    now = spark.conf.get(BATCH_BYTES, None)
+    if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) < 2**31 - 1:
+        spark.conf.set(BATCH_BYTES, str(most))
