@@ -9,6 +9,7 @@ from lockgrain.llm.canonical import canonical_records, collapse, duplicates, jso
 from lockgrain.llm.mixing import pareto_mix
 from lockgrain.llm.tokens import encode_corpus
 from lockgrain.llm.topk import frequent_items, top_k
+from lockgrain.llm.truncation import truncated, truncation_rates
 from lockgrain.session import table
 
 RECORD = ("name", "version", "ecosystem")
@@ -52,7 +53,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p5_found, p5_top_names, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "documents"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p5_found, p5_top_names, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)}
 
 _CANON = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _REPORTS = """
