@@ -1,0 +1,92 @@
+"""Lockfile packages joined with what manifests declare about them.
+
+A declaration row is (dir, kind, name, spec, section, grp, text, line_no, line_start, line_end, name_start, name_end,
+version_start, version_end): one entry of a manifest, with its place. Matching never fails a job and never drops a
+package: every join is a left join that sets is_direct, groups and locations where a declaration fits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def place(file: str, line_start: str, line_end: str, column_start: str, column_end: str) -> Column:
+    """A position, or null unless all four numbers are positive and a file is named."""
+    ok = (F.col(line_start) > 0) & (F.col(line_end) > 0) & (F.col(column_start) > 0) & (F.col(column_end) > 0) & (F.coalesce(file, F.lit("")) != "")
+    return F.when(ok, F.struct(F.col(file).alias("file_name"), F.col(line_start).cast("int").alias("line_start"), F.col(line_end).cast("int").alias("line_end"), F.col(column_start).cast("int").alias("column_start"), F.col(column_end).cast("int").alias("column_end")))
+
+
+def match_declared(packages: DataFrame, declared: DataFrame, by_spec: bool, replace_groups: bool = False) -> DataFrame:
+    """Equi join on directory and name; ``by_spec`` also asks for one of the package's target versions.
+
+    ``packages`` has dir, name, target_versions, dep_groups, is_direct and a unique key ``pid``; ``declared`` dir, name,
+    spec, grp (nullable), ord. All fitting declarations add their groups; the location comes from the one with the
+    smallest ord. A package that nothing declares stays as it is. ``replace_groups``: declared groups replace others.
+    """
+    keys = packages.select("pid", "dir", "name", "target_versions")
+    hits = keys.join(declared, ["dir", "name"])
+    if by_spec:
+        hits = hits.where(F.array_contains("target_versions", F.col("spec")))
+    found = hits.groupBy("pid").agg(
+        F.array_sort(F.collect_set("grp")).alias("__groups"),
+        F.min_by(F.struct(*[c for c in ("ord", "block", "name_loc", "version_loc") if c in declared.columns]), "ord").alias("__best"),
+    )
+    out = packages.join(found, "pid", "left")
+    hit = F.col("__best").isNotNull()
+    own = F.coalesce("dep_groups", F.array().cast("array<string>"))
+    union = F.array_distinct(F.concat(own, "__groups"))
+    groups = F.when(hit & (F.size("__groups") > 0), F.col("__groups") if replace_groups else union).otherwise(F.col("dep_groups"))
+    changes = {"is_direct": F.coalesce("is_direct", F.lit(False)) | hit, "dep_groups": groups}
+    for c in ("block", "name_loc", "version_loc"):
+        if c in declared.columns:
+            changes[c] = F.coalesce(F.col(f"__best.{c}"), F.col(c)) if c in packages.columns else F.col(f"__best.{c}")
+    return out.withColumns(changes).drop("__groups", "__best")
+
+
+def match_lines(packages: DataFrame, lines: DataFrame, dev_column: str | None = None) -> DataFrame:
+    """Substring match within a directory: a line that contains the package's name makes it direct; the last line wins.
+
+    ``lines`` has dir, line_no, text and optionally a flag that makes the package dev. The directory is an equi key, so
+    the pairs are bounded by one project's packages and lines. Names that are null or blank match nothing.
+    """
+    named = packages.select("pid", "dir", "name").where("name <> ''")
+    hits = named.join(lines, "dir").where(F.contains(F.lower("text"), F.lower("name")))
+    what = F.struct("line_no", *([dev_column] if dev_column else []))
+    found = hits.groupBy("pid").agg(F.max_by(what, "line_no").alias("__last"))
+    out = packages.join(found, "pid", "left")
+    hit = F.col("__last").isNotNull()
+    changes = {"is_direct": F.coalesce("is_direct", F.lit(False)) | hit, "line_no": F.col("__last.line_no")}
+    if dev_column:
+        own = F.coalesce("dep_groups", F.array().cast("array<string>"))
+        changes["dep_groups"] = F.when(F.coalesce(F.col(f"__last.{dev_column}"), F.lit(False)), F.array_union(own, F.array(F.lit("dev")))).otherwise(F.col("dep_groups"))
+    return out.withColumns(changes).drop("__last")
+
+
+def match_coordinates(packages: DataFrame, lines: DataFrame) -> DataFrame:
+    """Build script lines that contain both group and artifact: runtimeOnly adds runtimeClasspath; never sets is_direct.
+
+    ``packages``: pid, dir, name as group:artifact, version; ``lines``: dir, line_no, text. line_no is the last line that
+    also contains the version.
+    """
+    parts = F.split("name", ":", -1)
+    named = packages.select("pid", "dir", "version", F.get(parts, F.lit(0)).alias("g"), F.get(parts, F.lit(1)).alias("a")).where("g <> '' and a <> ''")
+    hits = named.join(lines, "dir").where(F.contains("text", F.col("g")) & F.contains("text", F.col("a")))
+    versioned = F.contains("text", F.col("version")) & (F.col("version") != "")
+    found = hits.groupBy("pid").agg(
+        F.max(F.when(versioned, F.col("line_no"))).alias("line_no"), F.bool_or(F.ltrim("text").startswith("runtimeOnly")).alias("__runtime")
+    )
+    own = F.coalesce("dep_groups", F.array().cast("array<string>"))
+    out = packages.join(found, "pid", "left")
+    return out.withColumn("dep_groups", F.when(F.coalesce("__runtime", F.lit(False)), F.array_union(own, F.array(F.lit("runtimeClasspath")))).otherwise(F.col("dep_groups"))).drop("__runtime")
+
+
+def fill_managed(packages: DataFrame, managed: DataFrame) -> DataFrame:
+    """Empty versions from managed declarations of the same source and name; a managed scope is added as a group.
+
+    ``managed`` has source_path, name, managed_version, scope, one row per key.
+    """
+    out = packages.join(managed, ["source_path", "name"], "left")
+    own = F.coalesce("dep_groups", F.array().cast("array<string>"))
+    scoped = F.when(F.coalesce("scope", F.lit("")) != "", F.array_union(own, F.array(F.lower("scope")))).otherwise(F.col("dep_groups"))
+    return out.withColumns({"version": F.coalesce(F.nullif("version", F.lit("")), "managed_version"), "dep_groups": scoped}).drop("managed_version", "scope")

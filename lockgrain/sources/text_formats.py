@@ -1,0 +1,36 @@
+"""Line formats that need no Python: gradle.lockfile and mix.lock as column expressions over (path, text)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lockgrain.functions.positions import split_lines
+
+
+def gradle_packages(files: DataFrame) -> DataFrame:
+    """'group:artifact:version=scope,scope' lines; comments, 'empty=' and malformed lines give nothing."""
+    lines = files.select(F.col("path").alias("source_path"), F.explode(split_lines(F.col("text"))).alias("line")).withColumn("line", F.trim("line"))
+    lines = lines.where("line <> '' and not startswith(line, '#') and not startswith(line, 'empty=')")
+    sides = F.split("line", "=", -1)
+    parts = F.split(F.get(sides, F.lit(0)), ":", -1)
+    good = lines.withColumns({"sides": sides, "parts": parts}).where("size(parts) = 3 and size(sides) = 2")
+    return good.select(
+        "source_path", F.concat_ws(":", F.col("parts")[0], F.col("parts")[1]).alias("name"), F.col("parts")[2].alias("version"),
+        F.lit("Maven").alias("ecosystem"), F.lit("Gradle").alias("package_manager"), F.filter(F.split(F.col("sides")[1], ",", -1), lambda s: s != "").alias("dep_groups"),
+    )
+
+
+def mix_packages(files: DataFrame) -> DataFrame:
+    """'"name": {:hex, :name, "version", "commit", ...},' lines; of :git entries the third field is the commit.
+
+    Lines of fewer than four fields give nothing.
+    """
+    lines = files.select(F.col("path").alias("source_path"), F.explode(split_lines(F.col("text"))).alias("line"))
+    found = lines.withColumns({"name": F.regexp_extract("line", r'^ +"(\w+)": \{.+,$', 1), "fields": F.filter(F.split(F.regexp_extract("line", r'^ +"\w+": \{(.+),$', 1), ",", -1), lambda x: x != "")}).where("name <> '' and size(fields) >= 4")
+    clean = lambda i: F.trim(F.regexp_replace(F.trim(F.coalesce(F.get("fields", F.lit(i)), F.lit(""))), r'^"|"$', ""))
+    git = F.trim(F.get("fields", F.lit(0))).endswith(":git")
+    return found.select(
+        "source_path", "name", F.when(git, "").otherwise(clean(2)).alias("version"), F.when(git, clean(2)).otherwise(clean(3)).alias("commit"),
+        F.lit("Hex").alias("ecosystem"), F.lit("Hex").alias("package_manager"),
+    )
