@@ -325,7 +325,7 @@ FROM package_rows WHERE ecosystem = 'npm' AND name IS NOT NULL AND version IS NO
     "ecosystem_list": "SELECT DISTINCT ecosystem FROM package_rows WHERE ecosystem IS NOT NULL",
     "render_lines": """SELECT coalesce(ecosystem, '') || ': ' || coalesce(name, '') || '@' || coalesce(version, '') || CASE WHEN coalesce("commit", '') <> '' THEN ' (' || "commit" || ')' ELSE '' END AS line, count(*) AS n FROM package_rows GROUP BY 1""",
     "id_order": "SELECT DISTINCT v.id AS id, CASE split_part(v.id, '-', 1) WHEN 'CVE' THEN 0 WHEN 'GHSA' THEN 2 ELSE 1 END AS id_rank FROM (SELECT unnest(vulnerabilities) AS v FROM package_vulns) WHERE v.id IS NOT NULL",
-    "scan_gradle_lines": _WITH_PKG + " SELECT source_path, name, version, dep_group || ',runtimeClasspath' AS scopes, count(*) AS n FROM pkg WHERE ecosystem = 'Maven' AND NOT regexp_matches(version, '=') GROUP BY ALL",
+    "scan_gradle_lines": _WITH_PKG + ", l AS (SELECT source_path, name || ':' || version || '=' || dep_group || ',runtimeClasspath' AS line FROM pkg WHERE ecosystem = 'Maven'), s AS (SELECT source_path, split_part(line, ':', 1) || ':' || split_part(line, ':', 2) AS name, split_part(line, ':', 3) AS rest FROM l) SELECT source_path, name, split_part(rest, '=', 1) AS version, substr(rest, instr(rest, '=') + 1) AS scopes, count(*) AS n FROM s GROUP BY ALL",
     "enrich_left_join": f"""WITH m AS (SELECT source_path, name, min(dep_groups[1]) AS grp FROM package_rows WHERE is_direct AND name IS NOT NULL GROUP BY ALL)
 SELECT row_id AS pid, coalesce(is_direct, false) OR m.name IS NOT NULL AS is_direct,
   CASE WHEN m.grp IS NULL THEN {_JOINED.format("p.dep_groups")} ELSE {_JOINED.format("list_concat(coalesce(p.dep_groups, []), [m.grp])")} END AS dep_groups

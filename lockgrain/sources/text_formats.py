@@ -11,13 +11,11 @@ from lockgrain.functions.positions import split_lines
 def gradle_packages(files: DataFrame) -> DataFrame:
     """'group:artifact:version=scope,scope' lines; comments, 'empty=' and malformed lines give nothing."""
     lines = files.select(F.col("path").alias("source_path"), F.explode(split_lines(F.col("text"))).alias("line")).withColumn("line", F.trim("line"))
-    lines = lines.where("line <> '' and not startswith(line, '#') and not startswith(line, 'empty=')")
-    sides = F.split("line", "=", -1)
-    parts = F.split(F.get(sides, F.lit(0)), ":", -1)
-    good = lines.withColumns({"sides": sides, "parts": parts}).where("size(parts) = 3 and size(sides) = 2")
+    part = lambda i: F.regexp_extract("line", r"^([^:]*):([^:]*):([^=]*)(=?)(.*)$", i)
+    good = lines.where("not startswith(line, '#') and not startswith(line, 'empty=') and line rlike '^[^:]*:[^:]*:'")
     return good.select(
-        "source_path", F.concat_ws(":", F.col("parts")[0], F.col("parts")[1]).alias("name"), F.col("parts")[2].alias("version"),
-        F.lit("Maven").alias("ecosystem"), F.lit("Gradle").alias("package_manager"), F.filter(F.split(F.col("sides")[1], ",", -1), lambda s: s != "").alias("dep_groups"),
+        "source_path", F.concat_ws(":", part(1), part(2)).alias("name"), part(3).alias("version"), F.lit("Maven").alias("ecosystem"), F.lit("Gradle").alias("package_manager"),
+        F.when(part(4) == "=", F.split(part(5), ",", -1)).otherwise(F.array().cast("array<string>")).alias("dep_groups"),
     )
 
 
