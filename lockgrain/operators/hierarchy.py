@@ -13,7 +13,7 @@ Defined results
 * On a circle (its own parent included): depth -1, root is the smallest key on that circle, no path.
 * Below a circle: depth -2, root is the smallest key on that circle (of several circles, the smallest key).
 * Several parents: depth is the shortest distance from any root, root the smallest root at that distance, and the path
-  goes through the smallest parent that lies one step nearer.
+  goes through the smallest of the parents that lie one step nearer to that root.
 * n_descendants counts distinct nodes reachable downwards, without the node itself.
 """
 
@@ -111,7 +111,8 @@ def walk_component(links: list[tuple[str, str | None]], with_paths: bool = True)
                 if child not in depth:
                     near.setdefault(child, []).append(n)
         for child, parents in near.items():
-            depth[child], root[child], via[child] = far, min(root[p] for p in parents), min(parents)
+            depth[child] = far
+            root[child], via[child] = min((root[p], p) for p in parents)
         level = list(near)
 
     size: dict[str, int] = {}
@@ -312,11 +313,11 @@ def reach_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
         .agg(F.sort_array(F.collect_set("a")).alias("back_edges"))
     )
     if with_paths:
-        good = out.where("depth >= 0").select("space", "key", "depth")
+        good = out.where("depth >= 0").select("space", "key", "depth", "root_key")
         step = (
             links.withColumnRenamed("d", "key").join(good, ["space", "key"])
-            .join(good.select("space", F.col("key").alias("a"), F.col("depth").alias("da")), ["space", "a"])
-            .where("da = depth - 1")
+            .join(good.select("space", F.col("key").alias("a"), F.col("depth").alias("da"), F.col("root_key").alias("ra")), ["space", "a"])
+            .where("da = depth - 1 and ra = root_key")
             .groupBy("space", "key").agg(F.min("a").alias("via"))
         )
         chain = good.join(step, ["space", "key"], "left").select("space", "key", F.array("key").alias("path"), F.col("via"))
