@@ -23,21 +23,33 @@ from pyspark.sql import functions as F
 
 from lockgrain.session import cut_lineage
 
-#: Marks that may follow a cut (a pattern for the end of a text).
-MARKS = r"(?:\\s|\\u2026|\\.\\.\\.|\\[\\.\\.\\.\\]|\\[\\u2026\\]|\\ufffd)+$"
+#: Characters and longer marks that may follow a cut.
+SPACE = " \\t\\n\\u000b\\f\\r"
+MARK_CHARS, LONG_MARKS = SPACE + "\\u2026\\ufffd", ("[...]", "[\\u2026]", "...")
+
+
+def _unmarked(text: str, times: int = 3) -> str:
+    """SQL for a text without the marks at its end; works from the end, so its cost is that of the marks."""
+    for _ in range(times):
+        ends = " ".join(f"WHEN endswith(x, '{m}') THEN left(x, length(x) - {len(m.encode().decode('unicode_escape'))})" for m in LONG_MARKS)
+        text = f"get(transform(array(rtrim('{MARK_CHARS}', {text})), x -> CASE {ends} ELSE x END), 0)"
+    return f"rtrim('{MARK_CHARS}', {text})"
+
+
 FEW_WORDS = 300_000  # common words up to which their table is broadcast
 
 _WORDS = r"""
 WITH base AS (
-  SELECT row, text, regexp_replace(text, '__MARKS__', '') AS t FROM {docs}
-  WHERE text IS NOT NULL AND trim(regexp_replace(text, '\\s+', ' ')) <> ''),
-coded AS (  -- code blocks: their line breaks are words, not boundaries
-  SELECT row, t, text, array_join(transform(split(t, '```', -1), (p, i) -> CASE WHEN i % 2 = 1
-      THEN concat(' ⏎ <code> ', regexp_replace(p, '\\n', ' <nl> '))
-      ELSE concat(CASE WHEN i > 0 THEN ' </code> ⏎ ' ELSE '' END, regexp_replace(regexp_replace(p, '([.!?。！？]+)(?=\\s|$|[\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}])|([。！？])', ' ⏎ '), '\\n', ' ⏎ ')) END), '') AS s
-  FROM base),
+  SELECT row, text, __WHOLE__ AS whole FROM {docs} WHERE rtrim('__SPACE__', text) <> ''),
+shown AS (SELECT row, text, __SHOWN__ AS t, (length(whole) - length(replace(whole, '```', ''))) DIV 3 % 2 = 1 AS open FROM base),
+parts AS (SELECT row, t, text, open, split(t, '```', -1) AS p FROM shown),
+coded AS (  -- code blocks: their line breaks are words, not boundaries; the last part is inside one if it never closes
+  SELECT row, t, text, open, array_join(transform(p, (x, i) -> CASE WHEN (size(p) - 1 - i + CASE WHEN open THEN 1 ELSE 0 END) % 2 = 1
+      THEN concat(' ⏎ <code> ', regexp_replace(x, '\\n', ' <nl> '))
+      ELSE concat(CASE WHEN i > 0 THEN ' </code> ⏎ ' ELSE '' END, regexp_replace(regexp_replace(x, '([.!?。！？]+)(?=\\s|$|[\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}])|([。！？])', ' ⏎ '), '\\n', ' ⏎ ')) END), '') AS s
+  FROM parts),
 words AS (
-  SELECT row, t, text, size(split(t, '```', -1)) % 2 = 0 AS open, filter(split(regexp_replace(lower(regexp_replace(s, '([\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}、])', ' $1 ')), '\\p{{Nd}}+', '0'), '\\s+', -1), x -> x <> '') AS w
+  SELECT row, t, text, open, filter(split(regexp_replace(lower(regexp_replace(s, '([\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}、])', ' $1 ')), '\\p{{Nd}}+', '0'), '\\s+', -1), x -> x <> '') AS w
   FROM coded),
 tri AS (
   SELECT row, t, text, size(w) AS n, inline(transform(w, (x, i) -> named_struct(
@@ -46,12 +58,14 @@ tri AS (
     'a', CASE WHEN coalesce(get(w, i - 1), '⏎') = '⏎' THEN '⏎' ELSE coalesce(get(w, i - 2), '⏎') END,
     'ends', coalesce(get(w, i + 1) = '⏎', NOT open))))
   FROM words)
-""".replace("__MARKS__", MARKS)
+""".replace("__WHOLE__", _unmarked("text")).replace("__SPACE__", SPACE)
+#: All words of a text, or those of its last pieces: words hold no space, so the last eight hold the last three words.
+_ALL, _LAST = _WORDS.replace("__SHOWN__", "whole"), _WORDS.replace("__SHOWN__", "substring_index(whole, ' ', -8)")
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(a, b, c, n, at_end): how often each trigram of raw words occurs, and how often at an end."""
-    return docs.sparkSession.sql(_WORDS + "SELECT a, b, c, count(*) AS n, sum(CASE WHEN ends THEN 1L ELSE 0L END) AS at_end FROM tri WHERE c <> '⏎' GROUP BY a, b, c", docs=docs)
+    return docs.sparkSession.sql(_ALL + "SELECT a, b, c, count(*) AS n, sum(CASE WHEN ends THEN 1L ELSE 0L END) AS at_end FROM tri WHERE c <> '⏎' GROUP BY a, b, c", docs=docs)
 
 
 #: The last word of each text with the two before it. stopped: a closing mark follows it.
@@ -122,7 +136,7 @@ def verdicts(docs: DataFrame, rate: float = 0.02, share: float = 0.001) -> DataF
     piles = cut_lineage(pile_ups(docs))  # at most 1 / share lengths a source and unit
     sized = docs.select("row", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     piled = sized.join(piles, (sized.source == piles.source) & F.when(piles.unit == "chars", sized.chars == piles["size"]).otherwise(sized.bytes == piles["size"]), "left_semi")
-    finals = spark.sql(_WORDS + _FINALS, docs=docs).join(piled.select("row").distinct().withColumn("piled", F.lit(True)), "row", "left").withColumn("piled", F.coalesce("piled", F.lit(False)))
+    finals = spark.sql(_LAST + _FINALS, docs=docs).join(piled.select("row").distinct().withColumn("piled", F.lit(True)), "row", "left").withColumn("piled", F.coalesce("piled", F.lit(False)))
     least = max(3.0, share * docs.where("text is not null").count())
     words = cut_lineage(raw.groupBy(F.col("c").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word"))
     near = F.broadcast(words) if words.count() <= FEW_WORDS else words
