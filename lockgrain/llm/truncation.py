@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lockgrain.session import cut_lineage
 
 #: Characters and longer marks that may follow a cut.
-SPACE = " \\t\\n\\u000b\\f\\r"
+SPACE = " \\t\\n\\u000b\\u000c\\r"
 MARK_CHARS, LONG_MARKS = SPACE + "\\u2026\\ufffd", ("[...]", "[\\u2026]", "...")
 
 

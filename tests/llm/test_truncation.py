@@ -22,6 +22,7 @@ def corpus():
     docs[1003] = ("b", STARTS[2] + ". Version numbers are compar\n")
     docs[1004] = ("b", "Look:\n```\nx = 1\ny = ")
     docs[1005] = ("b", STARTS[0] + ". A reporter noti�")
+    docs[1006] = ("b", STARTS[2] + ". A reporter noticed that the parser keeps the \x0c \n")
     docs[2000] = ("a", STARTS[0])
     docs[2001] = ("a", STARTS[1] + ".\n\n- " + STARTS[2])
     docs[2002] = ("b", STARTS[1] + ".\n```\nx = 1\n```")
@@ -33,9 +34,9 @@ def corpus():
 def test_cut_texts_are_found(spark):
     docs = corpus()
     df = spark.createDataFrame([(i, s, t, 1) for i, (s, t) in docs.items()], SCHEMA)
-    assert {r.doc_id for r in truncated(df).collect()} == {1000, 1001, 1002, 1003, 1004, 1005}
+    assert {r.doc_id for r in truncated(df).collect()} == {1000, 1001, 1002, 1003, 1004, 1005, 1006}
     rates = {r.source: (r.n_docs, r.n_cut) for r in truncation_rates(df).collect()}
-    assert rates["a"][1] == 3 and rates["b"][1] == 3 and rates[None] == (2, 0)
+    assert rates["a"][1] == 3 and rates["b"][1] == 4 and rates[None] == (2, 0)
     assert sum(n for n, _ in rates.values()) == len(docs)
 
 
@@ -43,7 +44,7 @@ def test_repeated_rows_and_empty_table(spark):
     docs = corpus()
     rows = [(i, s, t, 1) for i, (s, t) in docs.items()]
     twice = spark.createDataFrame(rows + rows[-20:], SCHEMA)
-    assert {r.doc_id for r in truncated(twice).collect()} == {1000, 1001, 1002, 1003, 1004, 1005}
+    assert {r.doc_id for r in truncated(twice).collect()} == {1000, 1001, 1002, 1003, 1004, 1005, 1006}
     empty = spark.createDataFrame([], SCHEMA)
     assert truncated(empty).collect() == [] and truncation_rates(empty).collect() == []
 
@@ -58,3 +59,11 @@ def test_pile_ups(spark):
     rows = [(i, "s", "x" * (50 if i < 30 else i)) for i in range(300)] + [(900, None, "y"), (901, "s", None)]
     got = {(r.source, r.unit, r["size"]) for r in pile_ups(spark.createDataFrame(rows, "row long, source string, text string")).collect()}
     assert got == {("s", "chars", 50), ("s", "bytes", 50)}
+
+
+def test_marks_are_taken_off_the_end_only(spark):
+    from lockgrain.llm.truncation import _unmarked
+
+    cases = {"of": "of", "of …": "of", "off...": "off", "x....": "x.", "t [...] \n": "t", "r�…": "r", "… a": "… a", "n\\t": "n\\t", "": "", " \t": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "text string")
+    assert {r.text: r.got for r in df.selectExpr("text", f"{_unmarked('text')} AS got").collect()} == cases
