@@ -49,3 +49,14 @@ def test_entry_point():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_named_columns(spark):
+    kinds = {
+        "p2_found": [("tbl", "string"), ("source_path", "string"), ("node_key", "string"), ("root_key", "string"), ("depth", "int"), ("n_descendants", "bigint")],
+        "p3_found": [("field", "string"), ("item", "string"), ("n_rows", "bigint"), ("n_sources", "bigint")],
+        "p4_found": [("source_path", "string"), ("rev", "int"), ("drift", "string"), ("old_field", "string"), ("new_field", "string")],
+        "p6_found": [("kind", "string"), ("record_id", "bigint"), ("parent_path", "string"), ("item", "string")],
+    }
+    for name, want in kinds.items():
+        assert QUERIES[name](spark, DATA).dtypes == want
