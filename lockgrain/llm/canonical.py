@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lockgrain.session import cut_lineage
+
 #: Groups with at least one of so many records are hot: there are at most HOT of them, which bounds their broadcast.
 HOT = 1000
 
@@ -69,12 +71,13 @@ def duplicates(records: DataFrame) -> DataFrame:
     are met by a broadcast; all others by a shuffle in which no group is larger than one in HOT of the records. Groups
     in which the 128 bits clash are grouped by their whole text instead.
     """
-    found = _by_hash(records)
+    slim = cut_lineage(records.select("id", "h1", "h2", "h3"))  # texts are read and parsed once; four numbers a record stay
+    found = cut_lineage(_by_hash(slim))
     groups = found.where("h3 = other and copies > 1").select("h1", "h2", "first_id", "copies")
-    total = records.agg(F.count("*").alias("n")).first()["n"]
+    total = found.agg(F.sum("copies").alias("n")).first()["n"] or 0
     hot = groups.where(F.col("copies") * HOT >= total).drop("copies")
     cold = groups.where(F.col("copies") * HOT < total).drop("copies")
-    slim = records.select("id", "h1", "h2")
+    slim = slim.drop("h3")
     marked = slim.join(F.broadcast(hot), ["h1", "h2"], "left")
     of_hot = marked.where("first_id is not null").select("first_id", "id")
     of_cold = marked.where("first_id is null").drop("first_id").join(cold.hint("merge"), ["h1", "h2"]).select("first_id", "id")
