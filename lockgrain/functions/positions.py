@@ -91,3 +91,27 @@ def find_term(lines: list[str], pattern: str, first_line: int) -> tuple[int, int
         if m:
             return first_line + i, first_line + i, m.start("term") + 1, m.end("term") + 1
     return None
+
+
+def toml_tables(lines: list[str], head: str) -> list[tuple[int, int, int, int]]:
+    """Python: (line start, line end, column start, column end) of each table with exactly this head line.
+
+    A table ends before the next head of any kind, without the blank line in front of it, or with the file.
+    """
+    found: list[tuple[int, int, int, int]] = []
+    begin = None
+    for i in range(len(lines) + 1):
+        if i == len(lines) or lines[i].startswith("["):
+            if begin is not None:
+                end = i
+                while end > begin + 1 and not lines[end - 1].strip():
+                    end -= 1
+                line = lines[begin]
+                found.append((begin + 1, end, len(line) - len(line.lstrip()) + 1, len(lines[end - 1].rstrip()) + 1))
+            begin = i if i < len(lines) and lines[i] == head else None
+    return found
+
+
+def safe_int(value: Column) -> Column:
+    """A whole number as int; null if it doesn't fit."""
+    return value.try_cast("int")

@@ -29,9 +29,9 @@ def _ranked(ecosystem):
 
 
 def key_sort(spark, d):
-    """Newest version of each package by its ecosystem's ordering, as one maximum."""
+    """Newest version of each package by its ecosystem's ordering, as one maximum; of equal versions the larger text."""
     rows = _versions(spark, d).withColumn("k", version_key(F.col("ecosystem"), F.col("version"))).where("k is not null")
-    return rows.groupBy("ecosystem", "name").agg(F.max_by("version", "k").alias("newest"))
+    return rows.groupBy("ecosystem", "name").agg(F.max_by("version", F.struct("k", "version")).alias("newest"))
 
 
 def _compared(ecosystem):

@@ -238,3 +238,39 @@ def errors_of(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is not null").select(F.col("source_path").alias("path"), "parser", F.col("error").alias("message"))
 
 
+
+
+def apk_packages(files: DataFrame, release_path: str = "/etc/alpine-release") -> DataFrame:
+    """Packages of installed databases of Alpine; the release of the same image qualifies the ecosystem.
+
+    ``files`` has image, path and text: every file of an image that is a database or its release.
+    """
+    from lockgrain.sources.formats.line_formats import apk
+
+    release = files.where(F.col("path") == release_path).groupBy("image").agg(F.min("text").alias("release"))
+    bases = files.where(F.col("path").endswith("/lib/apk/db/installed")).join(release, "image", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{**row, "source_path": r["path"], "parser": "apk-installed"} for r in batch.to_pylist() for row in apk(r["path"], r["text"] or "", r["release"])]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return bases.select("path", "text", "release").mapInArrow(run, PARSED).drop("children", "error", "includes")
+
+
+def go_binary_packages(files: DataFrame) -> DataFrame:
+    """Modules of Go programs among (path, content) rows; files that are none give no rows."""
+    from lockgrain.sources.formats.go_binary import go_binary, may_be_program
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    found = go_binary(path, raw or b"") if may_be_program(path) else []
+                except (ValueError, IndexError):
+                    found = []
+                rows += [{**row, "source_path": path, "parser": "go-binary"} for row in found]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return files.select("path", "content").mapInArrow(run, PARSED).drop("children", "error", "includes")

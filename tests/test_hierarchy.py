@@ -111,10 +111,11 @@ def test_both_ways_agree(spark):
                 assert r.path[0] == r.root_key and r.path[-1] == r.key and len(r.path) == r.depth + 1
             else:
                 assert r.path is None
-    pairs = descendants(df).collect()
+    listed = [sorted(map(tuple, descendants(df, **b).collect())) for b in ({}, {"local_nodes": 0, "local_dag_nodes": 0})]
+    assert listed[0] == listed[1]
     counts = {}
-    for p in pairs:
-        counts[p.space, p.key] = counts.get((p.space, p.key), 0) + 1
+    for s, key, _, _ in listed[0]:
+        counts[s, key] = counts.get((s, key), 0) + 1
     assert counts == {k: v[2] for k, v in want.items() if v[2]}
 
 
