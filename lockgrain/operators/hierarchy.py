@@ -212,20 +212,8 @@ def _walker(with_paths: bool):
     return walk
 
 
-def hierarchies(
-    links: DataFrame,
-    space: str = "space",
-    child: str = "child",
-    parent: str = "parent",
-    with_paths: bool = True,
-    local_nodes: int = 200_000,
-    local_dag_nodes: int = 20_000,
-) -> DataFrame:
-    """One row per node: space, key, root_key, depth, n_descendants, path, back_edges (parents whose link closes a circle).
-
-    ``links`` has one row per child, with its parent or null; nodes of different ``space`` are unrelated. Extra columns
-    are ignored. An empty table gives an empty result.
-    """
+def _place(links: DataFrame, space: str, child: str, parent: str, local_nodes: int, local_dag_nodes: int) -> tuple[DataFrame, DataFrame | None]:
+    """(comp, space, key, parent) of components that may be gathered, and of those that may not (None if there are none)."""
     raw = links.select(F.col(space).cast("string").alias("space"), F.col(child).cast("string").alias("key"), F.col(parent).cast("string").alias("parent"))
     raw = raw.withColumns({"key": F.coalesce("key", "parent"), "parent": F.when(F.col("key").isNotNull(), F.col("parent"))})
     ident = lambda c: F.xxhash64("space", c)
@@ -242,9 +230,25 @@ def hierarchies(
     large = cut_lineage(large)
 
     if large.isEmpty():
-        near, far = placed, None
-    else:
-        near, far = placed.join(large, "comp", "left_anti"), placed.join(large, "comp", "left_semi")
+        return placed, None
+    return placed.join(large, "comp", "left_anti"), placed.join(large, "comp", "left_semi")
+
+
+def hierarchies(
+    links: DataFrame,
+    space: str = "space",
+    child: str = "child",
+    parent: str = "parent",
+    with_paths: bool = True,
+    local_nodes: int = 200_000,
+    local_dag_nodes: int = 20_000,
+) -> DataFrame:
+    """One row per node: space, key, root_key, depth, n_descendants, path, back_edges (parents whose link closes a circle).
+
+    ``links`` has one row per child, with its parent or null; nodes of different ``space`` are unrelated. Extra columns
+    are ignored. An empty table gives an empty result.
+    """
+    near, far = _place(links, space, child, parent, local_nodes, local_dag_nodes)
     local = near.repartition("comp").sortWithinPartitions("comp").mapInArrow(_walker(with_paths), NODE_SCHEMA)
     return local if far is None else local.unionByName(reach_by_doubling(far, with_paths))
 
@@ -252,26 +256,39 @@ def hierarchies(
 def reachable_pairs(links: DataFrame) -> DataFrame:
     """(space, a, d, far): every node a with every node d below it and the shortest distance; a = d on a circle.
 
-    ``links`` has space, a (parent), d (child) without nulls or repeats. Pairs double in reach each round, so the rounds
-    grow with the logarithm of the depth.
+    ``links`` has space, a (parent), d (child) without nulls or repeats. A round finds the pairs of distances above m up
+    to 2m from those at exactly m and those up to m, so rounds grow with the logarithm of the depth, and in trees no pair
+    is found twice. Pairs are held as numbers; should two nodes share one, all are numbered again with another seed.
     """
-    reach = cut_lineage(links.withColumn("far", F.lit(1)))
-    mark = None
+    links = cut_lineage(links.select("space", "a", "d"))
+    nodes = cut_lineage(links.select("space", F.col("a").alias("key")).union(links.select("space", "d")).distinct())
+    seed = 0
     while True:
-        left = reach.select("space", "a", F.col("d").alias("mid"), F.col("far").alias("f1"))
-        right = reach.select("space", F.col("a").alias("mid"), "d", F.col("far").alias("f2"))
-        longer = left.join(right, ["space", "mid"]).select("space", "a", "d", (F.col("f1") + F.col("f2")).alias("far"))
-        reach = cut_lineage(reach.union(longer).groupBy("space", "a", "d").agg(F.min("far").alias("far")))
-        seen = reach.agg(F.count("*").alias("n"), F.sum("far").alias("s")).first()
-        if (seen["n"], seen["s"]) == mark:
-            return reach
-        mark = (seen["n"], seen["s"])
+        names = nodes.withColumn("id", F.xxhash64(F.lit(seed), "space", "key"))
+        seen = names.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+        if seen["n"] == seen["ids"]:
+            break
+        seed += 1
+    exact = links.select(*(F.xxhash64(F.lit(seed), "space", c).alias(c) for c in ("a", "d")))
+    reach, m = cut_lineage(exact.withColumn("far", F.lit(1))), 1
+    exact = reach.select("a", "d")
+    while True:
+        step = exact.select("a", F.col("d").alias("mid")).join(reach.select(F.col("a").alias("mid"), "d", "far"), "mid")
+        fresh = step.groupBy("a", "d").agg((F.min("far") + F.lit(m)).alias("far")).join(reach.select("a", "d"), ["a", "d"], "left_anti")
+        fresh = cut_lineage(fresh)
+        if fresh.isEmpty():
+            break
+        reach, m = reach.union(fresh), 2 * m
+        exact = fresh.where(F.col("far") == m).select("a", "d")
+    above = names.select(F.col("id").alias("a"), "space", F.col("key").alias("a_key"))
+    below = names.select(F.col("id").alias("d"), F.col("key").alias("d_key"))
+    return reach.join(above, "a").join(below, "d").select("space", F.col("a_key").alias("a"), F.col("d_key").alias("d"), "far")
 
 
 def reach_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
     """The same rows as the walk gives, for components too large to gather, from all reachable pairs."""
     links = placed.where("parent is not null").select("space", F.col("parent").alias("a"), F.col("key").alias("d")).distinct()
-    reach = reachable_pairs(links)
+    reach = cut_lineage(reachable_pairs(links))
     nodes = placed.select("space", "key").union(placed.where("parent is not null").select("space", "parent")).distinct()
     n_below = reach.where("a <> d").groupBy("space", F.col("a").alias("key")).agg(F.count("*").alias("n_descendants"))
     on_ring = reach.where("a = d").select("space", F.col("a").alias("key"))
@@ -335,8 +352,62 @@ def reach_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
     return out.join(closing, ["space", "key"], "left").select("space", "key", "root_key", "depth", "n_descendants", "path", "back_edges")
 
 
-def descendants(links: DataFrame, space: str = "space", child: str = "child", parent: str = "parent") -> DataFrame:
-    """(space, key, descendant, distance): each node with every other node below it, circles and several parents included."""
-    pairs = links.select(F.col(space).cast("string").alias("space"), F.col(parent).cast("string").alias("a"), F.col(child).cast("string").alias("d"))
-    pairs = pairs.where("a is not null and d is not null").distinct()
-    return reachable_pairs(pairs).where("a <> d").select("space", F.col("a").alias("key"), F.col("d").alias("descendant"), F.col("far").alias("distance"))
+def list_below(links: list[tuple[str, str | None]]) -> Iterator[tuple[str, str, int]]:
+    """(key, descendant, shortest distance) of one component; links are (child, parent or None)."""
+    down: dict[str, set[str]] = {}
+    for child, parent in links:
+        if parent is not None:
+            down.setdefault(parent, set()).add(child)
+    for key in down:
+        seen, level, far = {key}, [key], 0
+        while level:
+            far += 1
+            after = []
+            for n in level:
+                for c in down.get(n, ()):
+                    if c not in seen:
+                        seen.add(c)
+                        after.append(c)
+                        yield key, c, far
+            level = after
+
+
+def _lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds, names = (pa.string(), pa.string(), pa.string(), pa.int32()), ["space", "key", "descendant", "distance"]
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    at, held = None, {}
+
+    def put() -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for name, links in held.items():
+            for row in list_below(links):
+                out.append((name, *row))
+                if len(out) == 10_000:
+                    yield emit(out)
+                    out = []
+        if out:
+            yield emit(out)
+
+    for batch in batches:
+        for c, s, k, p in zip(*(batch.column(n).to_pylist() for n in ("comp", "space", "key", "parent"))):
+            if c != at:
+                yield from put()
+                at, held = c, {}
+            held.setdefault(s, []).append((k, p))
+    yield from put()
+
+
+def descendants(links: DataFrame, space: str = "space", child: str = "child", parent: str = "parent", local_nodes: int = 200_000, local_dag_nodes: int = 20_000) -> DataFrame:
+    """(space, key, descendant, distance): each node with every other node below it, circles and several parents included.
+
+    Components are placed as in ``hierarchies``; those too large to gather are listed by ``reachable_pairs``.
+    """
+    near, far = _place(links, space, child, parent, local_nodes, local_dag_nodes)
+    local = near.repartition("comp").sortWithinPartitions("comp").mapInArrow(_lister, "space string, key string, descendant string, distance int")
+    if far is None:
+        return local
+    pairs = reachable_pairs(far.where("parent is not null").select("space", F.col("parent").alias("a"), F.col("key").alias("d")).distinct())
+    return local.unionByName(pairs.where("a <> d").select("space", F.col("a").alias("key"), F.col("d").alias("descendant"), F.col("far").alias("distance")))
