@@ -3,6 +3,9 @@
 Method: find connected components, bring each component into one place, walk it depth-first without recursion while
 colouring nodes white, grey and black, and put out paths, descendant counts and the back edges that close circles.
 
+A space (say, one file's links) of up to SPACE_LINKS links is brought into one place whole, and its components are told
+apart there; the components of larger spaces are found by distributed rounds first.
+
 A component larger than ``local_nodes`` distinct links (or, where some node has several parents, larger than
 ``local_dag_nodes``) is never gathered: for those the same results come from shortest-distance reachability by path
 doubling, which is joins and map-side combined minima only.
@@ -28,6 +31,9 @@ from pyspark.sql import functions as F
 from lockgrain.operators.components import connected_components
 from lockgrain.session import cut_lineage
 
+SPACE_LINKS = 50_000  # distinct links of a space up to which it is gathered without looking for components first
+NO_SPACE = "\u0000"  # stands for a null space inside, so that joins find it
+
 NODE_SCHEMA = "space string, key string, root_key string, depth int, n_descendants long, path array<string>, back_edges array<string>"
 
 
@@ -172,10 +178,32 @@ def _rings(order: Iterator[str], up: dict[str, list[str]], down: dict[str, list[
     return ring
 
 
+def split_components(links: list[tuple[str, str | None]]) -> list[list[tuple[str, str | None]]]:
+    """The links of each connected component, by union and find."""
+    head: dict[str, str] = {}
+
+    def find(n: str) -> str:
+        top = n
+        while (up := head.setdefault(top, top)) != top:
+            top = up
+        while head[n] != top:
+            head[n], n = top, head[n]
+        return top
+
+    for child, parent in links:
+        a = find(child)
+        if parent is not None and (b := find(parent)) != a:
+            head[a] = b
+    parts: dict[str, list] = {}
+    for link in links:
+        parts.setdefault(find(link[0]), []).append(link)
+    return list(parts.values())
+
+
 def _walker(with_paths: bool):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put(space: str, comp_links: dict[str, list]) -> list[tuple]:
-            return [(space, *row) for row in walk_component(comp_links, with_paths)]
+        def put(space: str, links: list[tuple[str, str | None]]) -> list[tuple]:
+            return [(space, *row) for part in split_components(links) for row in walk_component(part, with_paths)]
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [[]] * 7
@@ -212,26 +240,40 @@ def _walker(with_paths: bool):
     return walk
 
 
+def _sizes(links: DataFrame, by: str) -> DataFrame:
+    """(by, links, most): distinct links and the most parents of one node."""
+    node = dict.fromkeys((by, "space", "key"))
+    parents = links.where("parent is not null").groupBy(*node).agg(F.count("*").alias("n"))
+    return parents.groupBy(by).agg(F.sum("n").alias("links"), F.max("n").alias("most"))
+
+
 def _place(links: DataFrame, space: str, child: str, parent: str, local_nodes: int, local_dag_nodes: int) -> tuple[DataFrame, DataFrame | None]:
-    """(comp, space, key, parent) of components that may be gathered, and of those that may not (None if there are none)."""
+    """(comp, space, key, parent) of what may be gathered, and of components that may not (None if there are none).
+
+    A space of up to SPACE_LINKS links is small enough to be gathered whole; its components are told apart where it is
+    walked. Only larger spaces take part in the distributed search for components.
+    """
     raw = links.select(F.col(space).cast("string").alias("space"), F.col(child).cast("string").alias("key"), F.col(parent).cast("string").alias("parent"))
     raw = raw.withColumns({"key": F.coalesce("key", "parent"), "parent": F.when(F.col("key").isNotNull(), F.col("parent"))})
-    ident = lambda c: F.xxhash64("space", c)
-    known = cut_lineage(raw.where("key is not null").distinct().withColumns({"k": ident("key"), "p": F.when(F.col("parent").isNotNull(), ident("parent"))}))
+    known = cut_lineage(raw.where("key is not null").withColumn("space", F.coalesce("space", F.lit(NO_SPACE))).distinct())
+    few = min(SPACE_LINKS, local_nodes)
+    wide = _sizes(known, "space").where((F.col("links") > few) | ((F.col("most") > 1) & (F.col("links") > local_dag_nodes))).select("space")
+    wide = cut_lineage(wide)
+    whole = known.select(F.xxhash64("space").alias("comp"), "space", "key", "parent")
+    if wide.isEmpty():
+        return whole, None
 
-    comps = cut_lineage(connected_components(known, "k", "p"))
-    placed = known.join(comps, known.k == comps.node, "left").select(
-        F.coalesce("component", "k").alias("comp"), "space", "key", "parent"
-    )
+    ident = lambda c: F.xxhash64("space", c)
+    spread = known.join(wide, "space", "left_semi").withColumns({"k": ident("key"), "p": F.when(F.col("parent").isNotNull(), ident("parent"))})
+    comps = cut_lineage(connected_components(spread, "k", "p"))
+    placed = spread.join(comps, spread.k == comps.node, "left").select(F.coalesce("component", "k").alias("comp"), "space", "key", "parent")
     placed = cut_lineage(placed)
-    parents = placed.where("parent is not null").groupBy("comp", "space", "key").agg(F.count("*").alias("n"))
-    sizes = parents.groupBy("comp").agg(F.sum("n").alias("links"), F.max("n").alias("most"))
-    large = sizes.where((F.col("links") > local_nodes) | ((F.col("most") > 1) & (F.col("links") > local_dag_nodes))).select("comp")
+    large = _sizes(placed, "comp").where((F.col("links") > local_nodes) | ((F.col("most") > 1) & (F.col("links") > local_dag_nodes))).select("comp")
     large = cut_lineage(large)
-
+    whole = whole.join(wide, "space", "left_anti").select("comp", "space", "key", "parent")
     if large.isEmpty():
-        return placed, None
-    return placed.join(large, "comp", "left_anti"), placed.join(large, "comp", "left_semi")
+        return whole.unionByName(placed), None
+    return whole.unionByName(placed.join(large, "comp", "left_anti")), placed.join(large, "comp", "left_semi")
 
 
 def hierarchies(
@@ -250,7 +292,8 @@ def hierarchies(
     """
     near, far = _place(links, space, child, parent, local_nodes, local_dag_nodes)
     local = near.repartition("comp").sortWithinPartitions("comp").mapInArrow(_walker(with_paths), NODE_SCHEMA)
-    return local if far is None else local.unionByName(reach_by_doubling(far, with_paths))
+    out = local if far is None else local.unionByName(reach_by_doubling(far, with_paths))
+    return out.withColumn("space", F.nullif("space", F.lit(NO_SPACE)))
 
 
 def reachable_pairs(links: DataFrame) -> DataFrame:
@@ -407,7 +450,8 @@ def descendants(links: DataFrame, space: str = "space", child: str = "child", pa
     """
     near, far = _place(links, space, child, parent, local_nodes, local_dag_nodes)
     local = near.repartition("comp").sortWithinPartitions("comp").mapInArrow(_lister, "space string, key string, descendant string, distance int")
+    back = {"space": F.nullif("space", F.lit(NO_SPACE))}
     if far is None:
-        return local
+        return local.withColumns(back)
     pairs = reachable_pairs(far.where("parent is not null").select("space", F.col("parent").alias("a"), F.col("key").alias("d")).distinct())
-    return local.unionByName(pairs.where("a <> d").select("space", F.col("a").alias("key"), F.col("d").alias("descendant"), F.col("far").alias("distance")))
+    return local.unionByName(pairs.where("a <> d").select("space", F.col("a").alias("key"), F.col("d").alias("descendant"), F.col("far").alias("distance"))).withColumns(back)

@@ -144,6 +144,22 @@ def test_deep_chain_and_back_edges(spark):
         assert out["a"].back_edges == ["c"] and out["d"].depth == -2 and out["c"].n_descendants == 3
 
 
+def test_small_and_large_spaces_together(spark, monkeypatch):
+    from lockgrain.operators import hierarchy
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for s in range(6):
+        links = [(f"n{i}", f"n{rng.randrange(i)}" if rng.random() < 0.9 else None) for i in range(1, 40 if s == 0 else 8)] + [("x", "x"), ("y", None)]
+        rows += [(f"s{s}", c, p) for c, p in links]
+        want |= {(f"s{s}", k): v for k, v in brute(links).items()}
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(hierarchy, "SPACE_LINKS", 10)
+    for bound in (200_000, 12):
+        got = {(r.space, r.key): (r.root_key, r.depth, r.n_descendants) for r in hierarchies(df, local_nodes=bound).collect()}
+        assert got == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(None, 3), (5, None), (9, 9)]
