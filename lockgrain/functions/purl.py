@@ -39,6 +39,11 @@ def purl_parts(ecosystem: Column, name: Column) -> Column:
     )
 
 
+def has_purl(ecosystem: Column, name: Column) -> Column:
+    """Whether a package URL can be made, without making it."""
+    return F.coalesce(purl_type(ecosystem).isNotNull() & purl_parts(ecosystem, name).isNotNull(), F.lit(False))
+
+
 def purl(ecosystem: Column, name: Column, version: Column) -> Column:
     """pkg:type/namespace/name@version; null where no package URL can be made. A null or empty version is left out."""
     kind, parts = purl_type(ecosystem), purl_parts(ecosystem, name)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockgrain.functions.devgroup import is_dev_group
-from lockgrain.functions.purl import purl
+from lockgrain.functions.purl import has_purl, purl
 
 
 def is_ranged(version: Column) -> Column:
@@ -29,9 +29,9 @@ def with_purl(packages: DataFrame) -> DataFrame:
 
 def sanitize(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept rows with purl, dropped rows with reason): ranged versions and packages without a package URL go."""
-    reason = F.when(is_ranged(F.col("version")), "ranged version").when(F.col("purl").isNull(), "no package url")
-    judged = with_purl(packages).withColumn("reason", reason)
-    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").drop("purl")
+    reason = F.when(is_ranged(F.col("version")), "ranged version").when(~has_purl(F.col("ecosystem"), F.col("name")), "no package url")
+    judged = packages.withColumn("reason", reason)
+    return with_purl(judged.where("reason is null").drop("reason")), judged.where("reason is not null")
 
 
 def direct_purls(packages: DataFrame) -> DataFrame:

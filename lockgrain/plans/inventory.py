@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lockgrain.functions import positions
 from lockgrain.functions.devgroup import is_dev_group
-from lockgrain.functions.purl import purl
+from lockgrain.functions.purl import has_purl, purl
 from lockgrain.operators import enrich, graph, inventory, reach
 from lockgrain.session import table
 
@@ -51,7 +51,7 @@ def purl_projection(spark, d):
 
 
 def purl_invalid(spark, d):
-    rows = inventory.with_purl(derived_packages(spark, d)).where("purl is null")
+    rows = derived_packages(spark, d).where(~has_purl(F.col("ecosystem"), F.col("name")))
     return rows.groupBy("ecosystem", "name").agg(F.count("*").alias("n"))
 
 
