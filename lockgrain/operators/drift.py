@@ -2,7 +2,8 @@
 
 Every readable content gets a schema fingerprint: its top-level fields with their JSON kinds. Revisions of a file are
 compared with the readable revision before them (``schema_changes``). ``migrate`` routes each content through chained
-explicit steps (rename, cast, default) to the newest schema of its format and records every step it took.
+explicit steps (rename, cast, default) to the newest schema of its format and records every step it took. A value that
+can't be told from what it was cast to stays beside it as ``field#kind`` (step ``kept``), as does one that can't be cast.
 
 Defined results: null, broken or non-object contents are unreadable and take no part; a byte order mark is dropped; a
 null value is an absent field; of a repeated key the last value counts; a revision loaded twice counts once (the row
@@ -143,37 +144,50 @@ STEPS: dict[str, tuple[Step, ...]] = {
 COLUMNS = ("name", "version", "lockfileVersion", "requires", "packages", "dependencies", "graph_lock", "build_requires", "python_requires")
 
 
-def _cast(value, kind: str):
-    """The value as the wanted kind; raises ValueError if there is no lossless way."""
+def _cast(value, kind: str) -> tuple:
+    """(the value as the wanted kind, whether the value can be told from it); raises ValueError if there is no way."""
     now = kind_of(value)
     if now == kind or kind == "array<string>" and now == "array<>":
-        return value
+        return value, True
     if kind == "string":
-        return value if isinstance(value, str) else canonical(value)
+        return canonical(value), True
     if kind == "number" and isinstance(value, str):
         number = float(value)
-        return int(number) if number.is_integer() else number
+        number = int(number) if number.is_integer() else number
+        return number, canonical(number) == value
     if kind == "object":
         if isinstance(value, str):
             inner = read_object(value)
             if inner is not None:
-                return inner
+                return inner, True
         if isinstance(value, list):
             named = {}
             for i, v in enumerate(value):
                 key = next((v[k] for k in ("path", "key", "name") if isinstance(v, dict) and isinstance(v.get(k), str)), str(i))
-                named[key if key not in named else f"{key}#{i}"] = v
-            return named
+                while key in named:
+                    key = f"{key}#{i}"
+                named[key] = v
+            return named, list(named) == sorted(named)  # an object has no order but that of its keys
     if kind == "boolean" and isinstance(value, dict):
-        return bool(value)
+        return bool(value), not value
     if kind == "array<string>":
         if isinstance(value, dict):
-            return [k if not isinstance(v, str) or not v else f"{k}/{v}" for k, v in value.items()]
+            names = [k if not isinstance(v, str) or not v else f"{k}/{v}" for k, v in value.items()]
+            return names, all(isinstance(v, str) and "/" not in k for k, v in value.items())
         if isinstance(value, list):
-            return [v if isinstance(v, str) else next((v[k] for k in ("ref", "name") if isinstance(v, dict) and isinstance(v.get(k), str)), canonical(v)) for v in value]
+            return [v if isinstance(v, str) else next((v[k] for k in ("ref", "name") if isinstance(v, dict) and isinstance(v.get(k), str)), canonical(v)) for v in value], False
     raise ValueError(f"{now} to {kind}")
 
 
+def _aside(fields: dict, field: str, kind: str, value) -> str:
+    """Puts the value beside its field, under a name the content doesn't use, and returns the name."""
+    name = f"{field}#{kind}"
+    while name in fields:
+        name += "#"
+    fields[name] = value
+    return name
+
+
 def migrate_content(text: str | None, parsed_as: str | None) -> tuple[dict, list[tuple[int, str, str, str]]] | None:
     """(fields after all steps, recorded steps); None if the text is unreadable."""
     found = read_object(text)
@@ -186,13 +200,16 @@ def migrate_content(text: str | None, parsed_as: str | None) -> tuple[dict, list
             fields[s.to] = fields.pop(s.field)
             log.append((s.version, "renamed", s.field, s.to))
         elif s.action == "cast" and s.field in fields and kind_of(fields[s.field]) != s.to:
-            was = kind_of(fields[s.field])
+            value = fields[s.field]
+            was = kind_of(value)
             try:
-                fields[s.field] = _cast(fields[s.field], s.to)
+                fields[s.field], whole = _cast(value, s.to)
                 log.append((s.version, "cast", s.field, f"{was} to {s.to}"))
+                if not whole:
+                    log.append((s.version, "kept", s.field, _aside(fields, s.field, was, value)))
             except (ValueError, OverflowError):
                 log.append((s.version, "uncast", s.field, f"{was} to {s.to}"))
-                fields[f"{s.field}#{was}"] = fields.pop(s.field)
+                _aside(fields, s.field, was, fields.pop(s.field))
         elif s.action == "default" and s.field not in fields:
             fields[s.field] = json.loads(s.to)
             log.append((s.version, "default", s.field, s.to))

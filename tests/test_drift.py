@@ -59,3 +59,24 @@ def test_migration(spark):
     assert {r.lock_id: r.lockfile_version for r in table} == {0: 1.0, 3: 1.0}
     report = drift.migration_report(spark.createDataFrame(data, SCHEMA)).collect()
     assert ("uncast", "lockfileVersion") in {(r.action, r.field) for r in report}
+
+
+def test_casts_keep_what_they_cannot_hold(spark):
+    needs, refs = {"node": ">=16", "npm": "9"}, [{"ref": "zlib/1.2", "kind": "host"}, "a/1"]
+    fields, steps = drift.migrate_content(json.dumps({"requires": needs, "requires#object": 5}), "package-lock")
+    assert fields["requires"] is True and fields["requires#object"] == 5 and fields["requires#object#"] == needs
+    assert [s[1:] for s in steps[:2]] == [("cast", "requires", "object to boolean"), ("kept", "requires", "requires#object#")]
+    fields, steps = drift.migrate_content(json.dumps({"host_requires": refs}), "conan-lock")
+    assert fields["requires"] == ["zlib/1.2", "a/1"] and fields["requires#array<object|string>"] == refs
+    for value, kind in (({"a": 1}, "object"), ({"a/b": "c"}, "object"), ([1, None], "array<null|number>")):
+        assert drift.migrate_content(json.dumps({"requires": value}), "conan-lock")[0][f"requires#{kind}"] == value
+    for value in ([{"path": "b"}, {"path": "a"}], [{"path": "x#2"}, {"path": "x"}, {"path": "x"}]):
+        fields, _ = drift.migrate_content(json.dumps({"packages": value, "lockfileVersion": "2.0"}), "package-lock")
+        assert list(fields["packages"].values()) == value and fields["lockfileVersion#string"] == "2.0" and fields["lockfileVersion"] == 2
+    assert drift.migrate_content('{"packages": [{"path": "b"}, {"path": "a"}]}', "package-lock")[0]["packages#array<object>"] == [{"path": "b"}, {"path": "a"}]
+    for text, parsed in (('{"requires": {}}', "package-lock"), ('{"requires": {"zlib": "1.2"}}', "conan-lock"), ('{"packages": [{"path": "a"}]}', "package-lock")):
+        assert not any(s[1] == "kept" for s in drift.migrate_content(text, parsed)[1])
+    one = spark.createDataFrame(rows({"requires": needs}) + rows({"requires": refs}, path="q", parsed="conan-lock"), SCHEMA)
+    extra = {r.source_path: r.extra for r in drift.migrate(one).collect()}
+    assert json.loads(extra["p"]["requires#object"]) == needs and json.loads(extra["q"]["requires#array<object|string>"]) == refs
+    assert {r.field for r in drift.migration_report(one).where("action = 'kept'").collect()} == {"requires"}
