@@ -28,6 +28,19 @@ def _ranked(ecosystem):
     return query
 
 
+def _ordered(*ecosystems):
+    """Places of all versions, for which no SQL is registered; the _sort queries rank those of numbers alone, as their SQL does."""
+    def query(spark, d):
+        return rank_versions(_versions(spark, d).where(F.col("ecosystem").isin(*ecosystems))).select("ecosystem", "name", "version", "place")
+
+    return query
+
+
+def semver_order(spark, d):
+    rows = _versions(spark, d).where(F.col("ecosystem").isin(*SEMVER))
+    return rows.withColumn("place", F.dense_rank().over(Window.partitionBy("ecosystem", "name").orderBy(semver_key(F.col("version")))))
+
+
 def key_sort(spark, d):
     """Newest version of each package by its ecosystem's ordering, as one maximum; of equal versions the larger text."""
     rows = _versions(spark, d).withColumn("k", version_key(F.col("ecosystem"), F.col("version"))).where("k is not null")
@@ -77,6 +90,8 @@ QUERIES = {
     "packagist_sort": _named("packagist_sort", _ranked("Packagist")),
     "rubygems_sort": _named("rubygems_sort", _ranked("RubyGems")),
     "maven_sort": _named("maven_sort", _ranked("Maven")),
+    "semver_order": semver_order,
+    **{f"{q}_order": _named(f"{q}_order", _ordered(e)) for q, e in (("nuget", "NuGet"), ("cran", "CRAN"), ("pypi", "PyPI"), ("packagist", "Packagist"), ("rubygems", "RubyGems"), ("maven", "Maven"))},
     "debian_sort": _named("debian_sort", _as_debian),
     "newest_versions": _named("newest_versions", key_sort),
     "maven_compare": _named("maven_compare", _compared("Maven")),

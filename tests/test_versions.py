@@ -63,3 +63,17 @@ def test_semver_in_catalyst_agrees_with_the_key(spark):
     order = df.select("v", semver_key(F.col("v")).alias("k")).orderBy("k")
     got = [r.v for r in order.collect()]
     assert all(compare("npm", a, b) <= 0 for a, b in zip(got, got[1:]))
+
+
+def test_order_queries_place_every_version(spark, tmp_path):
+    from lockgrain.plans.versions import QUERIES, SQL
+
+    queries = {"semver_order": "npm", "nuget_order": "NuGet", "cran_order": "CRAN", "pypi_order": "PyPI", "packagist_order": "Packagist", "rubygems_order": "RubyGems", "maven_order": "Maven"}
+    rows = [(e, "pkg", v) for e in queries.values() for same in ASCENDING[e] for v in same]
+    spark.createDataFrame(rows + rows[:3] + [("npm", None, "1"), ("npm", "pkg", None), (None, "pkg", "1")], "ecosystem string, name string, version string").write.parquet(str(tmp_path / "package_rows.parquet"))
+    for name, e in queries.items():
+        got = [(r.ecosystem, r.version, r.place) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted((e, v, i + 1) for i, same in enumerate(ASCENDING[e]) for v in same)
+        for (_, a, i), (_, b, j) in itertools.product(got, got):
+            assert compare(e, a, b) == (i > j) - (i < j), (e, a, b)
+        assert name not in SQL
