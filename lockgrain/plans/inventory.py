@@ -250,6 +250,12 @@ def line_columns(spark, d):
     return docs.select("doc_id", "i", positions.first_column(F.col("line")).alias("first_column"), positions.last_column(F.col("line")).alias("last_column"))
 
 
+def line_columns_all(spark, d):
+    """Columns of every line, tabs and characters beyond ASCII included; no SQL is registered, since engines differ in white space."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(positions.split_lines(F.col("text"))).alias("i", "line"))
+    return docs.select("doc_id", "i", positions.first_column(F.col("line")).alias("first_column"), positions.last_column(F.col("line")).alias("last_column"))
+
+
 def json_sections(spark, d):
     rows = table(spark, d, "lockfiles").where("content is not null")
     return rows.select("lock_id", positions.json_section_line(F.col("content"), "packages").alias("line_no"), positions.json_pair(F.col("content"), "version").alias("version_pair"))
@@ -272,7 +278,7 @@ QUERIES = {
         filter_ranged_versions, dropped_reasons, purl_projection, purl_invalid, direct_purls, dev_group_flag, base_metadata, group_by_source, unidentified_rows,
         group_by_purl, merge_metadata_strict, npm_group_merge, last_wins_dedupe, ecosystem_list, render_lines, id_order, scan_gradle_lines, enrich_left_join,
         enrich_by_spec, enrich_substring_join, enrich_coordinates, managed_version_fill, transitive_closure, closure_with_cycle, propagate_groups, parent_chain_properties,
-        artifact_edges, reach_join, advisory_affects, url_commit_extract, line_positions, line_columns, json_sections, json_props_explode, location_clean,
+        artifact_edges, reach_join, advisory_affects, url_commit_extract, line_positions, line_columns, line_columns_all, json_sections, json_props_explode, location_clean,
     )
 }
 

@@ -124,3 +124,19 @@ def test_positions(spark):
     assert [r[0] and tuple(r[0]) for r in df.select(hit).collect()] == [(11, 4, 5), None, None, None]
     assert [r[0] for r in df.select(positions.json_section_line(F.col("t"), "x")).collect()][:3] == [-1, -1, 2]
     assert [r[0] for r in df.select(positions.json_pair(F.col("t"), "n")).collect()][2] == '"n" : "1.0"'
+
+
+def test_columns_of_every_line(spark, tmp_path):
+    import re
+
+    from lockgrain.plans.inventory import QUERIES, SQL
+
+    texts = ["\tname = é  ", "  中文\t\r\n\t\t\r\r\n", "", "a\u00a0", "\u00a0x\u3000", "\x0cé\x0c", "𝒳 = '𝒴' \n plain ", "no space", "\x01\x7f", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, text in enumerate(texts):
+        for n, line in enumerate(re.split("\r\n|\r|\n", text) if text is not None else ()):
+            at = [k for k, c in enumerate(line) if c not in " \t\f"]
+            want.append((i, n, at[0] + 1 if at else -1, at[-1] + 2 if at else -1))
+    assert sorted(tuple(r) for r in QUERIES["line_columns_all"](spark, str(tmp_path)).collect()) == want
+    assert "line_columns_all" not in SQL
