@@ -18,6 +18,9 @@ Defined results
 * Several parents: depth is the shortest distance from any root, root the smallest root at that distance, and the path
   goes through the smallest of the parents that lie one step nearer to that root.
 * n_descendants counts distinct nodes reachable downwards, without the node itself.
+* Back edges don't depend on the way they are found: of the links within a group of nodes that reach each other, those
+  that lead no further from the smallest key of the group, by shortest distance and then by key. Each lies on a circle,
+  without them there is none, and a plain circle has one: the link to its smallest key.
 """
 
 from __future__ import annotations
@@ -90,6 +93,8 @@ def walk_component(links: list[tuple[str, str | None]], with_paths: bool = True)
         else:
             circle = _rings(reversed(order), up, down)
 
+    closing = _closing(circle, down)
+
     depth: dict[str, int] = {}
     root: dict[str, str] = {}
     via: dict[str, str] = {}
@@ -154,7 +159,7 @@ def walk_component(links: list[tuple[str, str | None]], with_paths: bool = True)
                 at = via[at]
                 path.append(at)
             path.reverse()
-        yield n, root[n], depth[n], size[n], path, back.get(n)
+        yield n, root[n], depth[n], size[n], path, closing.get(n)
 
 
 def _rings(order: Iterator[str], up: dict[str, list[str]], down: dict[str, list[str]]) -> dict[str, str]:
@@ -178,6 +183,26 @@ def _rings(order: Iterator[str], up: dict[str, list[str]], down: dict[str, list[
     return ring
 
 
+def _closing(circle: dict[str, str], down: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Node to the parents, in order, whose links to it close circles."""
+    far = {least: 0 for least in circle.values()}
+    level = list(far)
+    while level:
+        after = []
+        for n in level:
+            for c in down[n]:
+                if c not in far and circle.get(c) == circle[n]:
+                    far[c] = far[n] + 1
+                    after.append(c)
+        level = after
+    closing: dict[str, list[str]] = {}
+    for n in sorted(circle):
+        for c in down[n]:
+            if circle.get(c) == circle[n] and (far[c], c) <= (far[n], n):
+                closing.setdefault(c, []).append(n)
+    return closing
+
+
 def split_components(links: list[tuple[str, str | None]]) -> list[list[tuple[str, str | None]]]:
     """The links of each connected component, by union and find."""
     head: dict[str, str] = {}
@@ -285,7 +310,7 @@ def hierarchies(
     local_nodes: int = 200_000,
     local_dag_nodes: int = 20_000,
 ) -> DataFrame:
-    """One row per node: space, key, root_key, depth, n_descendants, path, back_edges (parents whose link closes a circle).
+    """One row per node: space, key, root_key, depth, n_descendants, path, back_edges (parents whose link closes a circle, in order).
 
     ``links`` has one row per child, with its parent or null; nodes of different ``space`` are unrelated. Extra columns
     are ignored. An empty table gives an empty result.
@@ -334,7 +359,6 @@ def reach_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
     reach = cut_lineage(reachable_pairs(links))
     nodes = placed.select("space", "key").union(placed.where("parent is not null").select("space", "parent")).distinct()
     n_below = reach.where("a <> d").groupBy("space", F.col("a").alias("key")).agg(F.count("*").alias("n_descendants"))
-    on_ring = reach.where("a = d").select("space", F.col("a").alias("key"))
     mutual = reach.select("space", F.col("a").alias("key"), F.col("d").alias("other")).join(
         reach.select("space", F.col("d").alias("key"), F.col("a").alias("other")), ["space", "key", "other"]
     )
@@ -364,11 +388,12 @@ def reach_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
             F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"),
         )
     )
+    from_least = rings.join(reach.select("space", F.col("a").alias("ring"), F.col("d").alias("key"), "far"), ["space", "ring", "key"])
+    place = from_least.select("space", "ring", "key", F.struct(F.when(F.col("key") == F.col("ring"), 0).otherwise(F.col("far")).alias("far"), "key").alias("at"))
     closing = (
-        links.join(on_ring.withColumnRenamed("key", "a"), ["space", "a"])
-        .join(rings.withColumnRenamed("key", "d"), ["space", "d"])
-        .where("d = ring")
-        .join(mutual.select("space", F.col("key").alias("d"), F.col("other").alias("a")), ["space", "d", "a"], "left_semi")
+        links.join(place.withColumnsRenamed({"key": "a", "at": "from"}), ["space", "a"])
+        .join(place.withColumnsRenamed({"key": "d", "at": "to"}), ["space", "ring", "d"])
+        .where("to <= from")
         .groupBy("space", F.col("d").alias("key"))
         .agg(F.sort_array(F.collect_set("a")).alias("back_edges"))
     )

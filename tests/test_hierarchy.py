@@ -173,3 +173,46 @@ def test_components(spark):
         want |= dict.fromkeys(part, min(part))
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def closing(links):
+    """Back edges by their definition, for one space."""
+    edges = {(p, c) for c, p in links if c is not None and p is not None}
+    nodes = {x for e in edges for x in e}
+
+    def distances(n):
+        far, level = {n: 0}, [n]
+        while level:
+            level = sorted({d for a, d in edges if a in level} - far.keys())
+            far |= dict.fromkeys(level, max(far.values()) + 1)
+        return far
+
+    far = {n: distances(n) for n in nodes}
+    out = {}
+    for a, d in edges:
+        if a in far[d]:
+            least = min(n for n in nodes if n in far[a] and a in far[n])
+            if (far[least][d], d) <= (far[least][a], a):
+                out.setdefault(d, []).append(a)
+    return {n: sorted(p) for n, p in out.items()}
+
+
+def test_back_edges_agree_both_ways(spark):
+    rng = random.Random(11)
+    spaces = {
+        "overlapping": [("b", "a"), ("a", "b"), ("c", "b"), ("b", "c")],
+        "rooted": [("b", "r"), ("a", "b"), ("b", "a")],
+        "self": [("a", "a"), ("b", "a"), ("a", "b"), ("b", "b")],
+        "tree": [("b", "c"), ("c", "a"), ("a", "b"), ("0", "b"), ("d", "0")],
+    }
+    for s in range(12):
+        names = [f"n{i}" for i in range(rng.randint(2, 9))]
+        spaces[f"s{s}"] = [(rng.choice(names), rng.choice(names)) for _ in range(2 * len(names))]
+    want = {(s, n): p for s, links in spaces.items() for n, p in closing(links).items()}
+    assert want["overlapping", "a"] == ["b"] and want["overlapping", "b"] == ["c"] and want["rooted", "a"] == ["b"] and ("rooted", "b") not in want
+    df = spark.createDataFrame([(s, c, p) for s, links in spaces.items() for c, p in links], SCHEMA)
+    for bounds in ({}, {"local_nodes": 0, "local_dag_nodes": 0}):
+        assert {(r.space, r.key): r.back_edges for r in hierarchies(df, **bounds).collect() if r.back_edges} == want
+    for links in spaces.values():  # without its back edges a space has no circle
+        left = [(c, p) for c, p in links if p not in closing(links).get(c, ())]
+        assert not closing(left)
