@@ -43,12 +43,51 @@ def kind_of(value) -> str:
         return "string"
     if isinstance(value, dict):
         return "object"
-    return "array<" + "|".join(sorted({kind_of(v) for v in value})) + ">"
+    try:
+        return "array<" + "|".join(sorted({kind_of(v) for v in value})) + ">"
+    except RecursionError:
+        return _deep_kind(value)
+
+
+def _deep_kind(value: list) -> str:
+    """kind_of for lists of any depth."""
+    inside, at = [value], 0  # lists in breadth-first order
+    while at < len(inside):
+        inside += [v for v in inside[at] if isinstance(v, list)]
+        at += 1
+    kinds: dict[int, str] = {}
+    for x in reversed(inside):
+        kinds[id(x)] = "array<" + "|".join(sorted({kinds[id(v)] if isinstance(v, list) else kind_of(v) for v in x})) + ">"
+    return kinds[id(value)]
 
 
 def canonical(value) -> str:
     """One text for equal JSON values: keys sorted, no layout, whole numbers without a fraction."""
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    try:
+        return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    except RecursionError:
+        return _deep_canonical(value)
+
+
+def _deep_canonical(value) -> str:
+    """canonical for values of any depth."""
+    out: list[str] = []
+    todo: list = [(value,)]  # values in tuples, and texts as they are; the next one last
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        (v,) = x
+        if isinstance(v, dict):
+            inner = [y for k in sorted(v) for y in (",", json.dumps(k) + ":", (v[k],))]
+            todo += ["}", *reversed(inner[1:]), "{"]
+        elif isinstance(v, list):
+            inner = [y for e in v for y in (",", (e,))]
+            todo += ["]", *reversed(inner[1:]), "["]
+        else:
+            out.append(json.dumps(_plain(v)))
+    return "".join(out)
 
 
 def _plain(value):

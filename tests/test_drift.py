@@ -80,3 +80,15 @@ def test_casts_keep_what_they_cannot_hold(spark):
     extra = {r.source_path: r.extra for r in drift.migrate(one).collect()}
     assert json.loads(extra["p"]["requires#object"]) == needs and json.loads(extra["q"]["requires#array<object|string>"]) == refs
     assert {r.field for r in drift.migration_report(one).where("action = 'kept'").collect()} == {"requires"}
+
+
+def test_deep_contents_are_read(spark):
+    from lockgrain.functions.jsontext import _deep_canonical, _deep_kind
+
+    value = {"b": [1.0, {"é": None, "a": [True, [], {}]}, "x\n"], "a": 2.5, "c": [[1], ["x", []]]}
+    assert _deep_canonical(value) == canonical(value) and _deep_kind(value["c"]) == kind_of(value["c"]) and _deep_canonical("x") == '"x"'
+    deep = '{"dependencies": ' + '{"a": {"dependencies": ' * 900 + "{}" + "}}" * 900 + ', "list": ' + "[" * 1500 + "1" + "]" * 1500 + "}"
+    assert len(canonical(read_object(deep))) == len(deep.replace(" ", "")) and kind_of(read_object(deep)["list"]).startswith("array<array<")
+    data = rows({"list": 1}, deep, {"list": 1})
+    assert changes(spark, data) == [("p", 2, "added", "", "dependencies"), ("p", 2, "retyped", "list", "list"), ("p", 3, "removed", "dependencies", ""), ("p", 3, "retyped", "list", "list")]
+    assert {r.lock_id for r in drift.migrate(spark.createDataFrame(data, SCHEMA)).collect()} == {0, 1, 2}
