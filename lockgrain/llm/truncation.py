@@ -37,6 +37,7 @@ def _unmarked(text: str, times: int = 3) -> str:
 
 
 FEW_WORDS = 300_000  # common words up to which their table is broadcast
+SPELLED = 40  # characters up to which all beginnings of a word are listed; longer ones are compared with the endings looked for
 
 _WORDS = r"""
 WITH base AS (
@@ -146,10 +147,17 @@ def verdicts(docs: DataFrame, rate: float = 0.02, share: float = 0.001) -> DataF
     t2 = t3.groupBy("b", "c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     t1 = t3.groupBy("c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - 1), lambda k: F.substring("c", F.lit(1), k))).alias("p")
-    longer = t3.where("known and length(c) between 2 and 40").select("a", "b", "n", starts)
+    longer = t3.where(f"known and length(c) between 2 and {SPELLED}").select("a", "b", "n", starts)
     wanted = last.select("a", "b", F.col("ending").alias("p")).distinct()
-    p3 = longer.join(wanted, ["a", "b", "p"], "left_semi").groupBy("a", "b", "p").agg(F.sum("n").alias("n"))
-    p2 = longer.join(wanted.select("b", "p").distinct(), ["b", "p"], "left_semi").groupBy("b", "p").agg(F.sum("n").alias("n"))
+
+    def continued(*before: str) -> DataFrame:
+        """(before, p, n): occurrences of known words that continue p after the same words."""
+        ends = wanted.select(*before, "p").distinct()
+        long = t3.where(f"known and length(c) > {SPELLED}").groupBy(*before, "c").agg(F.sum("n").alias("n")).join(ends, [*before])
+        long = long.where("startswith(c, p) and c <> p").select(*before, "p", "n")
+        return longer.select(*before, "p", "n").join(ends, [*before, "p"], "left_semi").unionByName(long).groupBy(*before, "p").agg(F.sum("n").alias("n"))
+
+    p3, p2 = continued("a", "b"), continued("b")
     return spark.sql(_VERDICT.replace("{rate}", repr(float(rate))), finals=last, t3=t3.drop("known"), t2=t2, t1=t1, p3=p3, p2=p2)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("lockgrain.llm")
-from lockgrain.llm.truncation import pile_ups, truncated, truncation_rates, trigram_counts  # noqa: E402
+from lockgrain.llm.truncation import pile_ups, truncated, truncation_rates, trigram_counts, verdicts  # noqa: E402
 
 STARTS = ["The scanner reads every lockfile before the report is written", "A reporter noticed that the parser keeps the parent links", "Please run the scan over all manifests and check the result again", "Version numbers are compared in order of release by the matcher"]
 SCHEMA = "doc_id long, source string, text string, row int"
@@ -67,3 +67,12 @@ def test_marks_are_taken_off_the_end_only(spark):
     cases = {"of": "of", "of …": "of", "off...": "off", "x....": "x.", "t [...] \n": "t", "r�…": "r", "… a": "… a", "n\\t": "n\\t", "": "", " \t": ""}
     df = spark.createDataFrame([(k,) for k in cases], "text string")
     assert {r.text: r.got for r in df.selectExpr("text", f"{_unmarked('text')} AS got").collect()} == cases
+
+
+def test_cut_inside_a_long_word(spark):
+    url = "https://example.org/" + "abcdefghij/" * 6 + "index"
+    texts = [f"see the docs at {url} for more." for _ in range(30)] + [f"see the docs at {url[:50]}", f"see the docs at {url[:12]}", f"see the docs at {url}"]
+    df = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    more = {r.row: (r.more3, r.more2) for r in verdicts(df.withColumnRenamed("doc_id", "row")).collect()}
+    assert more[30] == (31, 31) and more[31] == (31, 31) and more[32] == (0, 0)
+    assert {30, 31} <= {r.doc_id for r in truncated(df).collect()}
