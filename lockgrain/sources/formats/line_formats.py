@@ -8,7 +8,7 @@ import posixpath
 import re
 
 from lockgrain.functions.positions import find_in_lines
-from lockgrain.sources.commits import find_commit
+from lockgrain.sources.commits import find_commit, is_word
 from lockgrain.sources.formats.common import package, place
 
 LINES = re.compile(r"\r\n|\r|\n")
@@ -24,9 +24,33 @@ def _at(file: str, found: tuple[int, int, int, int] | None) -> dict | None:
 
 # --- yarn -----------------------------------------------------------------------------------------------------------
 
-_YARN_VERSION = re.compile(r'  "?version"?:? "?([\w.+-]+)"?\Z', re.ASCII)
-_YARN_FROM = re.compile(r"  \"?(?:resolution:|resolved)\"? \"([^ '\"]+)\"\Z")
-_YARN_CHILD = re.compile(r'"?([^\s":]+)"?\s*:?\s*"?([^"\n]+)"?\Z')
+def yarn_entry(line: str) -> tuple[str, str]:
+    """(key, value as written) of a stanza's line, in either syntax: key "value", "key" value, key: value."""
+    bare = line.strip()
+    if bare.startswith('"'):
+        key, _, rest = bare[1:].partition('"')
+    else:
+        end = next((i for i, c in enumerate(bare) if c in ' :"'), len(bare))
+        key, rest = bare[:end], bare[end:]
+    return key, rest.lstrip().removeprefix(":").lstrip()
+
+
+def _yarn_field(stanza: list[str], *keys: str) -> str:
+    """The value of the first own field (two blanks deep) with one of the keys, as written; '' if there is none."""
+    own = (yarn_entry(x) for x in stanza[1:] if x.startswith("  ") and not x[2:3].isspace())
+    return next((value for key, value in own if key in keys), "")
+
+
+def _yarn_version(stanza: list[str]) -> str:
+    value = _yarn_field(stanza, "version").strip('"')
+    return value if is_word(re.sub("[.+-]", "a", value)) else ""
+
+
+def _yarn_source(stanza: list[str]) -> str:
+    """What a package was resolved to; only a quoted text without blanks or quotes counts."""
+    value = _yarn_field(stanza, "resolution", "resolved")
+    inner = value[1:-1] if len(value) > 2 and value[0] == value[-1] == '"' else ""
+    return "" if set(inner) & set(" '\"") else inner
 
 
 def yarn_header(header: str) -> tuple[str, list[str]]:
@@ -59,9 +83,12 @@ def _yarn_children(stanza: list[str]) -> list[tuple[str, str, str]]:
             indent = depth
         elif indent is not None and depth == indent:
             break
-        elif indent is not None and (m := _YARN_CHILD.match(bare)):
-            registry, colon, spec = m.group(2).partition(":")
-            found.append((m.group(1), registry, spec) if colon else (m.group(1), "npm", m.group(2)))
+        elif indent is not None:
+            name, wanted = yarn_entry(bare)
+            wanted = wanted.strip('"')
+            registry, colon, spec = wanted.partition(":")
+            if name and wanted:
+                found.append((name, registry, spec) if colon else (name, "npm", wanted))
     return found
 
 
@@ -78,8 +105,7 @@ def yarn(path: str, text: str) -> list[dict]:
         name, targets = yarn_header(s[0])
         if name == "__metadata":
             continue
-        first = lambda pattern: next((m.group(1) for x in s if (m := pattern.match(x))), "")  # noqa: B023, E731
-        rows.append(package(name, first(_YARN_VERSION), "npm", "Yarn", target_versions=targets, commit=find_commit(first(_YARN_FROM))))
+        rows.append(package(name, _yarn_version(s), "npm", "Yarn", target_versions=targets, commit=find_commit(_yarn_source(s))))
         wants.append(_yarn_children(s))
     by_spec = {f"{r['name']}@{t}": r for r in rows for t in r["target_versions"]}
     for row, children in zip(rows, wants):
@@ -92,8 +118,21 @@ def yarn(path: str, text: str) -> list[dict]:
 
 #: Section heads of a Gemfile.lock; the first list holds packages.
 GEM_SOURCES = ("GIT", "GEM", "PATH", "PLUGIN SOURCE")
-_GEM = re.compile(r"( +)(.*?)(?: \(([^-]*)(?:-(.*))?\))?(!)?\Z")
-_OPTION = re.compile(r" {2}([a-z]+): (.*)\Z", re.I)
+
+
+def gem_line(line: str) -> tuple[int, str, str]:
+    """(indent, name, version without its platform) of an entry such as '    name (1.0-platform)!'."""
+    entry = line.lstrip(" ")
+    name, bracket, inner = entry.removesuffix("!").partition(" (")
+    if not bracket or not inner.endswith(")"):
+        return len(line) - len(entry), entry.removesuffix("!"), ""
+    return len(line) - len(entry), name, inner[:-1].partition("-")[0]
+
+
+def gem_option(line: str) -> tuple[str, str] | None:
+    """(key, value) of a source's option, '  key: value'; None for other lines."""
+    key, colon, value = line[2:].partition(": ")
+    return (key, value) if colon and line.startswith("  ") and key.isascii() and key.isalpha() else None
 
 
 def gemfile_lock(path: str, text: str) -> list[dict]:
@@ -107,14 +146,11 @@ def gemfile_lock(path: str, text: str) -> list[dict]:
         elif line[:1].strip():
             section = ""
         elif section:
-            if option := _OPTION.match(line):
-                if option.group(1) == "revision":
-                    commit = option.group(2)
-                continue
-            m = _GEM.match(line)
-            if line == "  specs" or not m:
+            if option := gem_option(line):
+                if option[0] == "revision":
+                    commit = option[1]
                 continue
-            depth, name, version = len(m.group(1)), m.group(2), m.group(3) or ""
+            depth, name, version = gem_line(line)
             if depth != 4 and not (depth == 2 and section == "direct"):
                 continue
             known = next((r for r in rows if r["name"] == name), None) if section == "direct" else None
@@ -128,7 +164,6 @@ def gemfile_lock(path: str, text: str) -> list[dict]:
 # --- Go -------------------------------------------------------------------------------------------------------------
 
 _CANONICAL = re.compile(r"v(\d+)(?:\.(\d+))?(?:\.(\d+))?(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?\Z", re.ASCII)
-_HOST = re.compile(r"(\w+://)?\w+\.\w+.*", re.ASCII)
 
 
 def go_version(module: str, version: str) -> str:
@@ -142,6 +177,12 @@ def go_version(module: str, version: str) -> str:
     return major.group(1) if major else ""
 
 
+def _is_module(target: str) -> bool:
+    """Whether a replacement is a module, whose path begins with a host, and no folder."""
+    host = target.partition("://")[2] or target
+    return host[:1] not in (".", "/") and "." in host.partition("/")[0]
+
+
 def _go_statements(lines: list[str]):
     """(verb, words, comment, line number) of each directive, blocks opened."""
     block = ""
@@ -188,7 +229,7 @@ def go_mod(path: str, text: str) -> list[dict]:
         hit = [k for k, r in rows.items() if r["name"] == old[0]] if len(old) == 1 else [k for k in [f"{old[0]}@{go_version(old[0], old[1])}"] if k in rows]
         version = go_version(new[0], new[1]) if len(new) > 1 else ""
         where = spots(raw, number, raw.partition("//")[0].split(), new[0], version)
-        if _HOST.match(new[0]):
+        if _is_module(new[0]):
             name = new[0]
         else:  # a folder: the module keeps its name and has no version
             name, version = old[0], ""
@@ -204,10 +245,14 @@ def go_mod(path: str, text: str) -> list[dict]:
 
 #: Constraints in the order they are looked for; the last found counts.
 CONSTRAINTS = ("==", ">=", "~=", "!=")
-_CONTINUED = re.compile(r"(?:[^\\]|^)(?:\\{2})*\\\Z")
 _COMMENT = re.compile(r"\s*#.*$", re.M)
 
 
+def _goes_on(line: str) -> bool:
+    """Whether a line ends with a backslash that isn't one of a pair."""
+    return (len(line) - len(line.rstrip("\\"))) % 2 == 1
+
+
 def requirement_name(name: str) -> str:
     return re.sub(r"[-_.]+", "-", name).lower().partition("[")[0]
 
@@ -271,11 +316,11 @@ def requirements(path: str, text: str) -> tuple[list[dict], list[str]]:
     at = 0
     while at < len(source):
         first, line, final = at + 1, source[at], source[at]
-        while _CONTINUED.search(line) and at + 1 < len(source):
+        while _goes_on(line) and at + 1 < len(source):
             at += 1
             final = source[at]
             line = line[:-1] + "\n" + final
-        if _CONTINUED.search(line):
+        if _goes_on(line):
             line = line[:-1]
         at += 1
         comment = line.lstrip().startswith("#")
@@ -322,17 +367,16 @@ def gradle(path: str, text: str) -> list[dict]:
     return rows
 
 
-_MIX = re.compile(r' +"(\w+)": \{.+,\Z', re.ASCII)
-
-
 def mix(path: str, text: str) -> list[dict]:
     rows = []
     for line in lines_of(text):
-        fields = [f for f in line.split(",") if f]
-        if (m := _MIX.match(line)) and len(fields) >= 4:
+        entry = line.lstrip(" ")
+        name, _, rest = entry[1:].partition('"')
+        fields = [f for f in rest.split(",") if f]
+        if entry != line and entry.startswith('"') and is_word(name) and rest.startswith(": {") and rest.endswith(",") and len(fields) >= 4:
             a, b = (f.strip().removeprefix('"').removesuffix('"') for f in fields[2:4])
             version, commit = ("", a) if fields[0].endswith(":git") else (a, b)
-            rows.append(package(m.group(1), version, "Hex", "Hex", commit=commit))
+            rows.append(package(name, version, "Hex", "Hex", commit=commit))
     return rows
 
 

@@ -7,12 +7,10 @@ import tomllib
 from collections import deque
 from xml.etree import ElementTree
 
-from lockgrain.sources.commits import CODELOAD
+from lockgrain.sources.commits import ARCHIVES, archive_commit
 from lockgrain.sources.formats.common import package, strings, table, text_of
 from lockgrain.sources.formats.json_formats import local_spec
 
-TARBALL = "https://codeload.github.com"
-
 
 def _toml(text: str) -> list[dict]:
     found = tomllib.loads(text.replace("\r\n", "\n")).get("package", [])
@@ -73,11 +71,10 @@ def _pnpm_by_snapshot(lock: dict) -> list[dict]:
     packages, snapshots = table(lock.get("packages")), table(lock.get("snapshots"))
 
     def clean(name: str, version: str) -> str:
-        return text_of(table(packages.get(f"{name}@{version}")).get("version")) if version.startswith(TARBALL) else version.split("(")[0]
+        return text_of(table(packages.get(f"{name}@{version}")).get("version")) if version.startswith(ARCHIVES) else version.split("(")[0]
 
     def commit(version: str) -> str:
-        m = CODELOAD.search(version) if version.startswith(TARBALL) else None
-        return m.group(1) if m else ""
+        return archive_commit(version) if version.startswith(ARCHIVES) else ""
 
     rows: dict[str, dict] = {}
 
@@ -122,8 +119,9 @@ def pnpm_path(path: str) -> tuple[str, str]:
     cut = 2 if parts[0].startswith("@") else 1
     name, version = "/".join(parts[:cut]), parts[cut] if len(parts) > cut else ""
     if not version:
-        m = re.fullmatch(r"(.+)@([\d.]+)", name, re.ASCII)
-        name, version = m.groups() if m else ("", "")
+        name, _, version = name.rpartition("@")
+        if not name or set(version) - set("0123456789."):
+            return "", ""
     return (name, version.split("_")[0]) if version[:1].isdigit() else ("", "")
 
 
@@ -143,13 +141,12 @@ def _pnpm_by_path(lock: dict) -> list[dict]:
         if not name or not version:
             continue
         source = table(p.get("resolution"))
-        m = CODELOAD.search(text_of(source.get("tarball")))
         declared = entries.get(name)
         spec = text_of(specifiers[name]) if name in specifiers else declared[0] if declared else ""
         pinned = local_spec(declared[1] if declared else "")
         rows.append(
             package(
-                name, version, "npm", "Pnpm", commit=m.group(1) if m else text_of(source.get("commit")), dep_groups=["dev"] if text_of(p.get("dev")).lower() == "true" else [],
+                name, version, "npm", "Pnpm", commit=archive_commit(text_of(source.get("tarball"))) or text_of(source.get("commit")), dep_groups=["dev"] if text_of(p.get("dev")).lower() == "true" else [],
                 target_versions=[local_spec(spec)] if path[path.rfind(mark) + 1 :] in pinned else [], is_direct=declared is not None,
             )
         )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -30,6 +31,17 @@ def test_commits(spark):
     assert {r.u: r.c for r in df.select("u", commit_of(df.u).alias("c")).collect()} == urls | {None: None}
 
 
+def test_commits_in_both_ways(spark):
+    """Python and Catalyst agree on addresses put together at random."""
+    rng = random.Random(4)
+    starts = ["", "r@", "git://", "git+ssh://", "x@ssh://", "@git://", "https://", "http://", "github:", "gitlab:o/r", "https://codeload.github.com/", "https://github.com/", "https://bitbucket.org/"]
+    parts = ["o", "/r", ".git", "/tar.gz/", "#", "abc1", "commit:", "commit=", "?ref=", "&x=1", "@v2", "-", "/"]
+    urls = sorted({rng.choice(starts) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(3000)})
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    differ = [(r.u, r.c, find_commit(r.u)) for r in df.select("u", commit_of(df.u).alias("c")).collect() if r.c != find_commit(r.u)]
+    assert not differ, differ[:5]
+
+
 def test_npm_versions():
     v1 = {"dependencies": {"a": {"version": "1.0.0", "dependencies": {"b": {"version": "2.0.0", "dev": True}}}, "b": {"version": "2.0.0", "optional": True}, "c": {"version": "npm:real@3.0.0"}, "d": {"version": "file:../d"}, "e": {"version": "git+https://h/r.git#abc", "dev": True}}}
     assert short("package-lock.json", json.dumps(v1)) == [
