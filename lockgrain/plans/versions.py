@@ -5,68 +5,47 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lockgrain.functions.versions import SEMVER, compare_versions, rank_versions, semver_key, version_key
+from lockgrain.functions.versions import SEMVER, compare_versions, rank_versions, version_key
+from lockgrain.plans import version_sql
 from lockgrain.session import table
 
-_PLAIN = r"^[0-9]{1,9}(\.[0-9]{1,9}){0,2}$"
-
 
 def _versions(spark, d):
     return table(spark, d, "package_rows").where("name is not null and version is not null and ecosystem is not null").select("ecosystem", "name", "version").distinct()
 
 
-def semver_sort(spark, d):
-    rows = _versions(spark, d).where(F.col("ecosystem").isin(*SEMVER) & F.col("version").rlike(_PLAIN))
-    return rows.withColumn("place", F.dense_rank().over(Window.partitionBy("ecosystem", "name").orderBy(semver_key(F.col("version")))))
-
-
-def _ranked(ecosystem):
-    def query(spark, d):
-        rows = _versions(spark, d).where((F.col("ecosystem") == ecosystem) & F.col("version").rlike(_PLAIN))
-        return rank_versions(rows).select("ecosystem", "name", "version", "place")
-
-    return query
-
+def _ranked(*ecosystems):
+    """Places of every version of the ecosystems' packages."""
 
-def _ordered(*ecosystems):
-    """Places of all versions, for which no SQL is registered; the _sort queries rank those of numbers alone, as their SQL does."""
     def query(spark, d):
         return rank_versions(_versions(spark, d).where(F.col("ecosystem").isin(*ecosystems))).select("ecosystem", "name", "version", "place")
 
     return query
 
 
-def semver_order(spark, d):
-    rows = _versions(spark, d).where(F.col("ecosystem").isin(*SEMVER))
-    return rows.withColumn("place", F.dense_rank().over(Window.partitionBy("ecosystem", "name").orderBy(semver_key(F.col("version")))))
+def debian_sort(spark, d):
+    """Places of every version of every package by Debian's rules, which order any text."""
+    key = version_key(F.lit("Debian"), F.col("version"))
+    rows = _versions(spark, d).withColumn("k", key)
+    return rows.select("ecosystem", "name", "version", F.dense_rank().over(Window.partitionBy("ecosystem", "name").orderBy("k")).alias("place"))
 
 
-def key_sort(spark, d):
-    """Newest version of each package by its ecosystem's ordering, as one maximum; of equal versions the larger text."""
-    rows = _versions(spark, d).withColumn("k", version_key(F.col("ecosystem"), F.col("version"))).where("k is not null")
-    return rows.groupBy("ecosystem", "name").agg(F.max_by("version", F.struct("k", "version")).alias("newest"))
+def newest_versions(spark, d):
+    """Newest version of each package by its ecosystem's ordering; of equal versions the larger text."""
+    return rank_versions(_versions(spark, d)).groupBy("ecosystem", "name").agg(F.max_by("version", F.struct("place", "version")).alias("newest"))
 
 
-def _compared(ecosystem):
+def _compared(ordering, *ecosystems):
+    """Order of each version and the next one of its package by text, by an ordering that compares pairs."""
+
     def query(spark, d):
-        rows = _versions(spark, d).where(F.col("ecosystem") == ecosystem)
+        rows = _versions(spark, d).where(F.col("ecosystem").isin(*ecosystems)) if ecosystems else _versions(spark, d)
         both = rows.withColumn("next_version", F.lead("version").over(Window.partitionBy("ecosystem", "name").orderBy("version"))).where("next_version is not null")
-        return both.withColumn("sign", compare_versions(F.col("ecosystem"), F.col("version"), F.col("next_version")))
+        return both.withColumn("sign", compare_versions(F.lit(ordering), F.col("version"), F.col("next_version")))
 
     return query
 
 
-def _as_alpine(spark, d):
-    rows = _versions(spark, d).where("ecosystem = 'npm'").withColumn("ecosystem", F.lit("Alpine"))
-    both = rows.withColumn("next_version", F.lead("version").over(Window.partitionBy("ecosystem", "name").orderBy("version"))).where("next_version is not null")
-    return both.withColumn("sign", compare_versions(F.col("ecosystem"), F.col("version"), F.col("next_version")))
-
-
-def _as_debian(spark, d):
-    rows = _versions(spark, d).where("ecosystem = 'npm'").withColumn("ecosystem", F.lit("Debian"))
-    return rank_versions(rows).select("ecosystem", "name", "version", "place")
-
-
 def _named(name, f):
     f.__name__ = name
     return f
@@ -82,31 +61,13 @@ def parse_lock_tables(spark, d):
     return packages_of(parse_lockfiles(files)).select(F.split("source_path", "/")[1].cast("long").alias("lock_id"), "name", "version", F.array_join("dep_groups", ",").alias("dep_groups"))
 
 
+_SORTED = {"semver": SEMVER, "nuget": ("NuGet",), "cran": ("CRAN",), "pypi": ("PyPI",), "packagist": ("Packagist",), "rubygems": ("RubyGems",), "maven": ("Maven",)}
 QUERIES = {
-    "semver_sort": semver_sort,
-    "nuget_sort": _named("nuget_sort", _ranked("NuGet")),
-    "cran_sort": _named("cran_sort", _ranked("CRAN")),
-    "pypi_sort": _named("pypi_sort", _ranked("PyPI")),
-    "packagist_sort": _named("packagist_sort", _ranked("Packagist")),
-    "rubygems_sort": _named("rubygems_sort", _ranked("RubyGems")),
-    "maven_sort": _named("maven_sort", _ranked("Maven")),
-    "semver_order": semver_order,
-    **{f"{q}_order": _named(f"{q}_order", _ordered(e)) for q, e in (("nuget", "NuGet"), ("cran", "CRAN"), ("pypi", "PyPI"), ("packagist", "Packagist"), ("rubygems", "RubyGems"), ("maven", "Maven"))},
-    "debian_sort": _named("debian_sort", _as_debian),
-    "newest_versions": _named("newest_versions", key_sort),
-    "maven_compare": _named("maven_compare", _compared("Maven")),
-    "alpine_compare": _named("alpine_compare", _as_alpine),
+    **{f"{q}_sort": _named(f"{q}_sort", _ranked(*e)) for q, e in _SORTED.items()},
+    "debian_sort": debian_sort,
+    "newest_versions": newest_versions,
+    "maven_compare": _named("maven_compare", _compared("Maven", "Maven")),
+    "alpine_compare": _named("alpine_compare", _compared("Alpine")),
     "parse_lock_tables": parse_lock_tables,
 }
-
-_RANK = """SELECT ecosystem, name, version, CAST(dense_rank() OVER (PARTITION BY ecosystem, name ORDER BY {key}) AS INTEGER) AS place
-FROM (SELECT DISTINCT ecosystem, name, version FROM package_rows WHERE name IS NOT NULL AND version IS NOT NULL AND ecosystem IS NOT NULL)
-WHERE ecosystem IN ({ecosystems}) AND regexp_full_match(version, '[0-9]{{1,9}}(\\.[0-9]{{1,9}}){{0,2}}')"""
-_NUMBERS = "[CAST(coalesce(nullif(split_part(version, '.', 1), ''), '0') AS BIGINT), CAST(coalesce(nullif(split_part(version, '.', 2), ''), '0') AS BIGINT), CAST(coalesce(nullif(split_part(version, '.', 3), ''), '0') AS BIGINT)]"
-_COUNTED = _NUMBERS + ", len(string_split(version, '.'))"
-SQL = {
-    "semver_sort": _RANK.format(key=_NUMBERS, ecosystems=", ".join(f"'{e}'" for e in SEMVER)),
-    **{f"{q}_sort": _RANK.format(key=_NUMBERS, ecosystems=f"'{e}'") for q, e in (("nuget", "NuGet"), ("pypi", "PyPI"), ("rubygems", "RubyGems"), ("maven", "Maven"))},
-    "cran_sort": _RANK.format(key=_COUNTED, ecosystems="'CRAN'"),
-    "packagist_sort": _RANK.format(key="[CAST(x AS BIGINT) FOR x IN string_split(version, '.')]", ecosystems="'Packagist'"),
-}
+SQL = {**version_sql.SORTS, "newest_versions": version_sql.NEWEST, "maven_compare": version_sql.MAVEN_COMPARE, "alpine_compare": version_sql.ALPINE_COMPARE}
