@@ -1,7 +1,4 @@
-"""Graph operators on package links: closure, group propagation, inheritance along parent chains, child lookup.
-
-All are joins to a fixed point with lineage cut each round; visited sets are anti joins or map-side combined minima.
-"""
+"""Closure of package links, as joins to a fixed point with lineage cut each round."""
 
 from __future__ import annotations
 
@@ -9,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockgrain.operators.hierarchy import reachable_pairs
-from lockgrain.session import cut_lineage
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -17,57 +13,3 @@ def closure(edges: DataFrame) -> DataFrame:
     links = edges.select(F.col("source_path").alias("space"), F.col("parent_key").alias("a"), F.col("child_key").alias("d"))
     pairs = reachable_pairs(links.where("a is not null and d is not null").distinct())
     return pairs.select(F.col("space").alias("source_path"), F.col("a").alias("ancestor"), F.col("d").alias("node"), F.col("far").alias("distance"))
-
-
-def propagate_groups(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """(source_path, node, grp): each node's own groups and those of everything above it, whatever the order of links.
-
-    ``groups`` has source_path, node, grp. Only what a round adds is followed in the next, so the work is that of the
-    result; rounds are as many as the longest way a group travels.
-    """
-    links = edges.select("source_path", F.col("parent_key").alias("node"), F.col("child_key").alias("child")).where("node is not null and child is not null").distinct()
-    known = cut_lineage(groups.select("source_path", "node", "grp").where("node is not null and grp is not null").distinct())
-    fresh = known
-    while True:
-        step = fresh.join(links, ["source_path", "node"]).select("source_path", F.col("child").alias("node"), "grp").distinct()
-        fresh = cut_lineage(step.join(known, ["source_path", "node", "grp"], "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = cut_lineage(known.union(fresh))
-
-
-def inherit(parents: DataFrame, properties: DataFrame) -> DataFrame:
-    """(node, key, value, distance): the value of each key that is nearest up the chain of parents, own values first.
-
-    ``parents`` has node, parent; ``properties`` node, key, value. Of equally near values the smallest counts; circles end.
-    """
-    links = parents.where("node is not null and parent is not null").select(F.lit("").alias("space"), F.col("parent").alias("a"), F.col("node").alias("d")).distinct()
-    up = reachable_pairs(links).where("a <> d").select("a", "d", "far")
-    own = properties.select("node", "key", "value", F.lit(0).alias("distance"))
-    given = up.join(properties.select(F.col("node").alias("a"), "key", "value"), "a").select(F.col("d").alias("node"), "key", "value", F.col("far").alias("distance"))
-    best = own.union(given).groupBy("node", "key").agg(F.min(F.struct("distance", "value")).alias("best"))
-    return best.select("node", "key", "best.value", "best.distance")
-
-
-def closure_groups(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source_path, node, dep_groups, is_direct): roots and all below them; a node has the groups of the roots it hangs under.
-
-    ``roots`` has source_path, node, dep_groups. A node is direct if it is a root itself.
-    """
-    labels = roots.select("source_path", "node", F.explode("dep_groups").alias("grp"))
-    spread = propagate_groups(edges, labels)
-    direct = roots.select("source_path", "node").distinct().withColumn("is_direct", F.lit(True))
-    merged = spread.groupBy("source_path", "node").agg(F.array_sort(F.collect_set("grp")).alias("dep_groups"))
-    return merged.join(direct, ["source_path", "node"], "left").withColumn("is_direct", F.coalesce("is_direct", F.lit(False)))
-
-
-def child_lookup(wants: DataFrame, packages: DataFrame) -> DataFrame:
-    """EDGE rows of declared dependencies: by 'name@spec', else by 'name@registry:spec'; the later package wins a spec.
-
-    ``wants`` has source_path, parent_key, name, spec, registry; ``packages`` source_path, ord, key, name, target_versions.
-    """
-    index = packages.select("source_path", "ord", "key", F.explode("target_versions").alias("spec"), "name").groupBy("source_path", "name", "spec").agg(F.max_by("key", "ord").alias("found"))
-    plain = index.withColumnRenamed("found", "exact")
-    tagged = index.select("source_path", "name", F.col("spec").alias("tagged_spec"), F.col("found").alias("tagged"))
-    out = wants.join(plain, ["source_path", "name", "spec"], "left").withColumn("tagged_spec", F.concat_ws(":", "registry", "spec")).join(tagged, ["source_path", "name", "tagged_spec"], "left")
-    return out.select("source_path", "parent_key", F.coalesce("exact", "tagged").alias("child_key")).where("child_key is not null")

@@ -115,18 +115,6 @@ def merge_by_purl(packages: DataFrame, order: Column | None = None, strict: bool
     return out.select("purl", "package.*", "n_rows", "dep_groups", "is_direct", "is_dev", "package_manager", *(["locations"] if locations else []))
 
 
-def merge_npm_groups(packages: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """Duplicates of one package inside a lockfile: no groups in any row means none at all, else their sorted union.
-
-    Of the other columns the last row in order counts.
-    """
-    others = [c for c in packages.columns if c not in (*key, "dep_groups")]
-    none = F.bool_or(F.coalesce(F.size("dep_groups"), F.lit(0)) <= 0)
-    union = F.array_sort(F.array_distinct(F.flatten(F.collect_set("dep_groups"))))
-    last = F.max_by(F.struct(*others), order).alias("__last")
-    return packages.groupBy(*key).agg(F.when(none, F.array().cast("array<string>")).otherwise(union).alias("dep_groups"), last).select(*key, "dep_groups", "__last.*")
-
-
 def last_wins(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
     """Of rows with one key the last in order, as one map-side combined maximum."""
     others = [c for c in rows.columns if c not in key]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lockgrain.functions import positions
 from lockgrain.functions.devgroup import is_dev_group
 from lockgrain.functions.purl import has_purl, purl
-from lockgrain.operators import enrich, graph, inventory, reach
+from lockgrain.operators import graph, inventory, reach
 from lockgrain.session import table
+from lockgrain.sinks import cyclonedx
 
 _PKG = """
 SELECT 'repo/' || CAST(l_orderkey % 50 AS STRING) || '/gradle.lockfile' AS source_path,
@@ -71,13 +72,14 @@ def base_metadata(spark, d):
 
 
 def group_by_source(spark, d):
+    """What the nested form holds, counted per source."""
     good, _ = inventory.identify(_rows(spark, d))
-    dev = is_dev_group(F.col("ecosystem"), F.col("dep_groups"))
-    return good.groupBy("source_path").agg(
-        F.count("*").alias("n_packages"), F.sum((F.col("ecosystem") == "GIT").cast("long")).alias("n_git"),
-        F.sum(F.coalesce("is_direct", F.lit(False)).cast("long")).alias("n_direct"), F.sum(dev.cast("long")).alias("n_dev"),
-        F.min(F.concat_ws("@", "name", F.coalesce("version", F.lit("")))).alias("first_package"),
-    )
+    rows = good.select("source_path", F.concat_ws("@", "name", F.coalesce("version", F.lit(""))).alias("package"), "ecosystem", F.coalesce("is_direct", F.lit(False)).alias("direct"), is_dev_group(F.col("ecosystem"), F.col("dep_groups")).alias("dev"))
+    nested = inventory.group_by_source(rows, "package", "ecosystem", "direct", "dev")
+    n = lambda keep: F.size(F.filter("packages", keep)).cast("long")
+    return nested.select(
+        "source_path", F.size("packages").cast("long").alias("n_packages"), n(lambda p: p["ecosystem"] == "GIT").alias("n_git"), n(lambda p: p["direct"]).alias("n_direct"), n(lambda p: p["dev"]).alias("n_dev"), F.get("packages", F.lit(0))["package"].alias("first_package")
+    )
 
 
 def unidentified_rows(spark, d):
@@ -93,12 +95,6 @@ def merge_metadata_strict(spark, d):
     return inventory.merge_by_purl(_rows(spark, d).where("purl <> ''"), F.col("row_id"), strict=True).select("purl", "is_dev")
 
 
-def npm_group_merge(spark, d):
-    rows = _rows(spark, d).where("ecosystem = 'npm' and name is not null and version is not null").select("source_path", "name", "version", "dep_groups", "row_id")
-    merged = inventory.merge_npm_groups(rows, ["source_path", "name", "version"], F.col("row_id"))
-    return merged.select("source_path", "name", "version", F.array_join("dep_groups", ",").alias("dep_groups"), F.col("row_id").alias("last_row"))
-
-
 def last_wins_dedupe(spark, d):
     rows = _rows(spark, d).where("name is not null and version is not null").select("source_path", "name", "version", "is_direct", "row_id")
     return inventory.last_wins(rows, ["source_path", "name", "version"], F.col("row_id"))
@@ -117,54 +113,6 @@ def id_order(spark, d):
     return ids.select("id", inventory.id_rank(F.col("id")).alias("id_rank"))
 
 
-def scan_gradle_lines(spark, d):
-    from lockgrain.sources.text_formats import gradle_packages
-
-    lines = derived_packages(spark, d).where("ecosystem = 'Maven'").select(
-        F.col("source_path").alias("path"), F.concat("name", F.lit(":"), "version", F.lit("="), "dep_group", F.lit(",runtimeClasspath")).alias("text")
-    )
-    found = gradle_packages(lines)
-    return found.groupBy("source_path", "name", "version", F.array_join("dep_groups", ",").alias("scopes")).agg(F.count("*").alias("n"))
-
-
-def _declared(spark, d) -> DataFrame:
-    """Manifest entries: one per distinct name and section, from the packages that are direct."""
-    rows = _rows(spark, d).where("is_direct and name is not null")
-    return rows.groupBy(F.col("source_path").alias("dir"), "name").agg(F.min("row_id").alias("ord"), F.min(F.get("dep_groups", F.lit(0))).alias("grp")).withColumn("spec", F.lit(None).cast("string"))
-
-
-def enrich_left_join(spark, d):
-    packages = _rows(spark, d).select(F.col("row_id").alias("pid"), F.col("source_path").alias("dir"), "name", "target_versions", "dep_groups", "is_direct")
-    out = enrich.match_declared(packages, _declared(spark, d), by_spec=False)
-    return out.select("pid", "is_direct", F.array_join(F.array_sort(F.array_distinct("dep_groups")), ",").alias("dep_groups"))
-
-
-def enrich_by_spec(spark, d):
-    packages = _rows(spark, d).select(F.col("row_id").alias("pid"), F.col("source_path").alias("dir"), "name", "target_versions", "dep_groups", "is_direct")
-    specs = packages.where("is_direct").select("dir", "name", F.explode("target_versions").alias("spec"), F.lit("prod").alias("grp"), F.col("pid").alias("ord"))
-    return enrich.match_declared(packages.drop("is_direct").withColumn("is_direct", F.lit(False)), specs, by_spec=True).groupBy("is_direct").agg(F.count("*").alias("n"))
-
-
-def enrich_substring_join(spark, d):
-    packages = table(spark, d, "npm_packages").where("name is not null").select(F.col("npm_id").alias("pid"), F.col("source_path").alias("dir"), "name", F.array().cast("array<string>").alias("dep_groups"), F.lit(False).alias("is_direct"))
-    lines = table(spark, d, "npm_packages").where("resolved is not null").select(F.col("source_path").alias("dir"), F.col("npm_id").alias("line_no"), F.col("resolved").alias("text"))
-    return enrich.match_lines(packages, lines).select("pid", "is_direct", "line_no")
-
-
-def enrich_coordinates(spark, d):
-    packages = _rows(spark, d).where("ecosystem = 'Maven'").select(F.col("row_id").alias("pid"), F.col("source_path").alias("dir"), "name", "version", "dep_groups")
-    lines = _rows(spark, d).where("ecosystem = 'Maven'").select(F.col("source_path").alias("dir"), F.col("row_id").alias("line_no"), F.concat(F.when(F.col("is_direct"), "runtimeOnly ").otherwise("implementation "), F.lit('"'), "name", F.lit(":"), "version", F.lit('"')).alias("text"))
-    out = enrich.match_coordinates(packages, lines)
-    return out.select("pid", "line_no", F.array_contains("dep_groups", "runtimeClasspath").alias("runtime"))
-
-
-def managed_version_fill(spark, d):
-    rows = _rows(spark, d).where("ecosystem = 'Maven'")
-    managed = rows.where("name is not null and version is not null").groupBy("source_path", "name").agg(F.max("version").alias("managed_version")).withColumn("scope", F.lit("TEST"))
-    out = enrich.fill_managed(rows.select("row_id", "source_path", "name", "version", "dep_groups"), managed)
-    return out.select("row_id", "version", F.array_contains("dep_groups", "test").alias("scoped"))
-
-
 def _npm_edges(spark, d) -> DataFrame:
     name = F.coalesce("name", F.nullif(F.regexp_extract("pkg_path", r"(?s).*node_modules/(.*)$", 1), F.lit("")))
     return table(spark, d, "npm_packages").select("source_path", name.alias("parent_key"), F.explode(F.map_keys("dependencies")).alias("child_key"))
@@ -182,25 +130,10 @@ def closure_with_cycle(spark, d):
     return graph.closure(_dep_edges(spark, d)).select("source_path", "ancestor", "node")
 
 
-def propagate_groups(spark, d):
-    own = table(spark, d, "npm_packages").where("name is not null").select("source_path", F.col("name").alias("node"), F.when(F.coalesce("dev", F.lit(False)), "dev").otherwise("prod").alias("grp"))
-    return graph.propagate_groups(_npm_edges(spark, d), own)
-
-
-def parent_chain_properties(spark, d):
-    art = table(spark, d, "artifacts")
-    parents = art.select(F.col("filename").alias("node"), F.col("depends_on.filename").alias("parent")).distinct()
-    own = art.where("version is not null").groupBy(F.col("filename").alias("node")).agg(F.min("version").alias("value")).withColumn("key", F.lit("version"))
-    return graph.inherit(parents, own).select("node", "value", "distance")
-
-
 def artifact_edges(spark, d):
-    art = table(spark, d, "artifacts").where("name is not null and version is not null and filename is not null")
-    first = art.groupBy("name", "version").agg(F.min("filename").alias("file"))
-    rows = _rows(spark, d).where("block.file_name is not null")
-    inner = rows.join(first, ["name", "version"]).select(F.col("block.file_name").alias("ref"), F.col("file").alias("depends_on"))
-    own = table(spark, d, "artifacts").where("filename is not null and depends_on.filename is not null").select(F.col("filename").alias("ref"), F.col("depends_on.filename").alias("depends_on"))
-    return inner.union(own).groupBy("ref", "depends_on").agg(F.count("*").alias("n"))
+    """The edges of a document: artifacts on their parents, and files on the artifacts they name."""
+    places = _rows(spark, d).select("name", "version", F.col("block.file_name").alias("file"))
+    return cyclonedx.dependency_edges(places, table(spark, d, "artifacts")).groupBy("ref", "depends_on").agg(F.count("*").alias("n"))
 
 
 def _advisories(spark, d) -> DataFrame:
@@ -210,9 +143,9 @@ def _advisories(spark, d) -> DataFrame:
 
 
 def _detections(spark, d) -> DataFrame:
-    sites = table(spark, d, "package_vulns").where("package.version like '1%' and package.purl is not null").select(
-        F.substring_index("package.purl", "/", -1).alias("symbol_text"), F.col("source_path").alias("path"), *(F.lit(1).alias(c) for c in ("line_start", "line_end", "column_start", "column_end"))
-    )
+    """Call sites are the places of the records: a package without a place is called nowhere."""
+    places = table(spark, d, "package_vulns").where("package.purl is not null").select(F.substring_index("package.purl", "/", -1).alias("symbol_text"), F.explode("locations").alias("l"))
+    sites = places.where("l.block is not null").select("symbol_text", F.col("l.block.file_name").alias("path"), *(F.col(f"l.block.{c}") for c in ("line_start", "line_end", "column_start", "column_end")))
     return reach.detect(_advisories(spark, d), sites)
 
 
@@ -226,18 +159,6 @@ def advisory_affects(spark, d):
     return out.select("advisory_id", F.array_join("affects", ",").alias("affects"))
 
 
-def url_commit_extract(spark, d):
-    from lockgrain.sources.commits import commit_of
-
-    rows = table(spark, d, "npm_packages").where("resolved is not null")
-    forms = F.array(
-        F.col("resolved"), F.concat(F.lit("git+ssh://git@github.com/o/"), "name", F.lit(".git#"), F.concat(F.lit("c"), F.col("npm_id").cast("string"))),
-        F.concat(F.lit("https://codeload.github.com/o/r/tar.gz/"), F.concat(F.lit("a"), F.col("npm_id").cast("string"))),
-        F.concat(F.lit("https://github.com/o/r?ref=b"), F.col("npm_id").cast("string")), F.lit("https://gitlab.com/o/r#main"),
-    )
-    return rows.select("npm_id", F.posexplode(forms).alias("form", "url")).select("npm_id", "form", commit_of(F.col("url")).alias("commit_id"))
-
-
 def line_positions(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     lines = positions.split_lines(F.col("text"))
@@ -246,12 +167,7 @@ def line_positions(spark, d):
 
 
 def line_columns(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(positions.split_lines(F.col("text"))).alias("i", "line")).where("line rlike '^[ -~]*$'")
-    return docs.select("doc_id", "i", positions.first_column(F.col("line")).alias("first_column"), positions.last_column(F.col("line")).alias("last_column"))
-
-
-def line_columns_all(spark, d):
-    """Columns of every line, tabs and characters beyond ASCII included; no SQL is registered, since engines differ in white space."""
+    """Columns of every line, tabs and characters beyond ASCII included."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(positions.split_lines(F.col("text"))).alias("i", "line"))
     return docs.select("doc_id", "i", positions.first_column(F.col("line")).alias("first_column"), positions.last_column(F.col("line")).alias("last_column"))
 
@@ -276,9 +192,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         filter_ranged_versions, dropped_reasons, purl_projection, purl_invalid, direct_purls, dev_group_flag, base_metadata, group_by_source, unidentified_rows,
-        group_by_purl, merge_metadata_strict, npm_group_merge, last_wins_dedupe, ecosystem_list, render_lines, id_order, scan_gradle_lines, enrich_left_join,
-        enrich_by_spec, enrich_substring_join, enrich_coordinates, managed_version_fill, transitive_closure, closure_with_cycle, propagate_groups, parent_chain_properties,
-        artifact_edges, reach_join, advisory_affects, url_commit_extract, line_positions, line_columns, line_columns_all, json_sections, json_props_explode, location_clean,
+        group_by_purl, merge_metadata_strict, last_wins_dedupe, ecosystem_list, render_lines, id_order, transitive_closure, closure_with_cycle,
+        artifact_edges, reach_join, advisory_affects, line_positions, line_columns, json_sections, json_props_explode, location_clean,
     )
 }
 
@@ -304,7 +219,7 @@ _JOINED = "array_to_string(list_sort(list_distinct({0})), ',')"
 _NPM_NAME = "coalesce(name, nullif(regexp_extract(pkg_path, '.*node_modules/(.*)$', 1), ''))"
 _ADVISORIES = """adv AS (SELECT DISTINCT purl, v.id AS advisory_id, source_path AS symbol_value, split_part(purl, '/', -1) AS symbol_name
   FROM (SELECT package.purl AS purl, source_path, unnest(vulnerabilities) AS v FROM package_vulns WHERE package.purl IS NOT NULL) WHERE v.id IS NOT NULL),
-sites AS (SELECT split_part(package.purl, '/', -1) AS symbol_text FROM package_vulns WHERE package.version LIKE '1%' AND package.purl IS NOT NULL),
+sites AS (SELECT symbol_text FROM (SELECT split_part(package.purl, '/', -1) AS symbol_text, unnest(locations) AS l FROM package_vulns WHERE package.purl IS NOT NULL) WHERE l.block IS NOT NULL),
 hits AS (SELECT DISTINCT purl, advisory_id FROM adv WHERE symbol_name IN (SELECT symbol_text FROM sites) OR symbol_value || '.' || symbol_name IN (SELECT symbol_text FROM sites))"""
 
 SQL = {
@@ -325,64 +240,33 @@ FROM package_rows WHERE {_NAMED} OR coalesce("commit", '') <> '' GROUP BY source
 FROM package_rows WHERE purl <> '' GROUP BY purl""",
     "merge_metadata_strict": f"""WITH r AS (SELECT purl, row_number() OVER (PARTITION BY purl ORDER BY row_id) AS k, {_DEV} AS dev, coalesce(is_direct, false) AS direct FROM package_rows WHERE purl <> '')
 SELECT purl, bool_and(CASE WHEN k = 1 THEN dev ELSE direct END) AS is_dev FROM r GROUP BY purl""",
-    "npm_group_merge": f"""SELECT source_path, name, version, CASE WHEN bool_or(coalesce(len(dep_groups), 0) = 0) THEN '' ELSE {_JOINED.format("flatten(list(coalesce(dep_groups, [])))")} END AS dep_groups, max(row_id) AS last_row
-FROM package_rows WHERE ecosystem = 'npm' AND name IS NOT NULL AND version IS NOT NULL GROUP BY source_path, name, version""",
     "last_wins_dedupe": "SELECT source_path, name, version, is_direct, row_id FROM package_rows WHERE name IS NOT NULL AND version IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_path, name, version ORDER BY row_id DESC) = 1",
     "ecosystem_list": "SELECT DISTINCT ecosystem FROM package_rows WHERE ecosystem IS NOT NULL",
     "render_lines": """SELECT coalesce(ecosystem, '') || ': ' || coalesce(name, '') || '@' || coalesce(version, '') || CASE WHEN coalesce("commit", '') <> '' THEN ' (' || "commit" || ')' ELSE '' END AS line, count(*) AS n FROM package_rows GROUP BY 1""",
     "id_order": "SELECT DISTINCT v.id AS id, CASE split_part(v.id, '-', 1) WHEN 'CVE' THEN 0 WHEN 'GHSA' THEN 2 ELSE 1 END AS id_rank FROM (SELECT unnest(vulnerabilities) AS v FROM package_vulns) WHERE v.id IS NOT NULL",
-    "scan_gradle_lines": _WITH_PKG + ", l AS (SELECT source_path, name || ':' || version || '=' || dep_group || ',runtimeClasspath' AS line FROM pkg WHERE ecosystem = 'Maven'), s AS (SELECT source_path, split_part(line, ':', 1) || ':' || split_part(line, ':', 2) AS name, split_part(line, ':', 3) AS rest FROM l) SELECT source_path, name, split_part(rest, '=', 1) AS version, substr(rest, instr(rest, '=') + 1) AS scopes, count(*) AS n FROM s GROUP BY ALL",
-    "enrich_left_join": f"""WITH m AS (SELECT source_path, name, min(dep_groups[1]) AS grp FROM package_rows WHERE is_direct AND name IS NOT NULL GROUP BY ALL)
-SELECT row_id AS pid, coalesce(is_direct, false) OR m.name IS NOT NULL AS is_direct,
-  CASE WHEN m.grp IS NULL THEN {_JOINED.format("p.dep_groups")} ELSE {_JOINED.format("list_concat(coalesce(p.dep_groups, []), [m.grp])")} END AS dep_groups
-FROM package_rows p LEFT JOIN m ON p.source_path = m.source_path AND p.name = m.name""",
-    "enrich_by_spec": """WITH s AS (SELECT DISTINCT source_path, name, unnest(target_versions) AS spec FROM package_rows WHERE is_direct),
-hit AS (SELECT DISTINCT p.row_id FROM package_rows p JOIN s ON p.source_path = s.source_path AND p.name = s.name AND list_contains(p.target_versions, s.spec))
-SELECT row_id IN (SELECT row_id FROM hit) AS is_direct, count(*) AS n FROM package_rows GROUP BY 1""",
-    "enrich_substring_join": """SELECT p.npm_id AS pid, max(l.npm_id) IS NOT NULL AS is_direct, max(l.npm_id) AS line_no FROM npm_packages p
-LEFT JOIN npm_packages l ON p.source_path = l.source_path AND contains(lower(l.resolved), lower(p.name)) AND p.name <> '' WHERE p.name IS NOT NULL GROUP BY p.npm_id""",
-    "enrich_coordinates": """WITH p AS (SELECT row_id, source_path, split_part(name, ':', 1) AS g, split_part(name, ':', 2) AS a, version, dep_groups FROM package_rows WHERE ecosystem = 'Maven'),
-l AS (SELECT row_id AS line_no, source_path, CASE WHEN is_direct THEN 'runtimeOnly ' ELSE 'implementation ' END || '"' || name || ':' || version || '"' AS text FROM package_rows WHERE ecosystem = 'Maven'),
-f AS (SELECT p.row_id, max(CASE WHEN contains(l.text, p.version) AND p.version <> '' THEN l.line_no END) AS line_no, bool_or(starts_with(l.text, 'runtimeOnly')) AS runtime FROM p JOIN l ON p.source_path = l.source_path AND p.g <> '' AND p.a <> '' AND contains(l.text, p.g) AND contains(l.text, p.a) GROUP BY p.row_id)
-SELECT p.row_id AS pid, f.line_no, CASE WHEN f.runtime THEN true WHEN p.dep_groups IS NULL THEN NULL ELSE list_contains(p.dep_groups, 'runtimeClasspath') END AS runtime FROM p LEFT JOIN f ON p.row_id = f.row_id""",
-    "managed_version_fill": """WITH r AS (SELECT * FROM package_rows WHERE ecosystem = 'Maven'),
-m AS (SELECT source_path, name, max(version) AS v FROM r WHERE name IS NOT NULL AND version IS NOT NULL GROUP BY ALL)
-SELECT row_id, coalesce(nullif(version, ''), m.v) AS version, CASE WHEN m.name IS NOT NULL THEN true WHEN r.dep_groups IS NULL THEN NULL ELSE list_contains(r.dep_groups, 'test') END AS scoped
-FROM r LEFT JOIN m ON r.source_path = m.source_path AND r.name = m.name""",
     "transitive_closure": f"""WITH RECURSIVE e AS (SELECT DISTINCT source_path, {_NPM_NAME} AS a, unnest(map_keys(dependencies)) AS d FROM npm_packages),
 r AS (SELECT * FROM e WHERE a IS NOT NULL UNION SELECT r.source_path, r.a, e.d FROM r JOIN e ON r.source_path = e.source_path AND r.d = e.a)
 SELECT source_path, a AS ancestor, d AS node FROM r""",
     "closure_with_cycle": """WITH RECURSIVE e AS (SELECT DISTINCT source_path, parent_key AS a, child_key AS d FROM dep_links WHERE parent_key IS NOT NULL AND child_key IS NOT NULL),
 r AS (SELECT * FROM e UNION SELECT r.source_path, r.a, e.d FROM r JOIN e ON r.source_path = e.source_path AND r.d = e.a)
 SELECT source_path, a AS ancestor, d AS node FROM r""",
-    "propagate_groups": f"""WITH RECURSIVE e AS (SELECT DISTINCT source_path, {_NPM_NAME} AS a, unnest(map_keys(dependencies)) AS d FROM npm_packages),
-r AS (SELECT DISTINCT source_path, name AS node, CASE WHEN dev THEN 'dev' ELSE 'prod' END AS grp FROM npm_packages WHERE name IS NOT NULL
-  UNION SELECT r.source_path, e.d, r.grp FROM r JOIN e ON r.source_path = e.source_path AND r.node = e.a)
-SELECT source_path, node, grp FROM r""",
-    "parent_chain_properties": """WITH RECURSIVE p AS (SELECT DISTINCT filename AS d, depends_on.filename AS a FROM artifacts WHERE filename IS NOT NULL AND depends_on.filename IS NOT NULL),
-own AS (SELECT filename AS node, min(version) AS value FROM artifacts WHERE version IS NOT NULL GROUP BY filename),
-up AS (SELECT d, a, 1 AS far FROM p UNION SELECT up.d, p.a, up.far + 1 FROM up JOIN p ON up.a = p.d WHERE up.far < 200),
-al AS (SELECT node, value, 0 AS distance FROM own UNION ALL SELECT up.d, own.value, up.far FROM up JOIN own ON up.a = own.node WHERE up.d <> up.a)
-SELECT node, value, CAST(distance AS INTEGER) AS distance FROM al QUALIFY row_number() OVER (PARTITION BY node ORDER BY distance, value) = 1""",
-    "artifact_edges": """WITH f AS (SELECT name, version, min(filename) AS file FROM artifacts WHERE name IS NOT NULL AND version IS NOT NULL AND filename IS NOT NULL GROUP BY ALL)
+    "artifact_edges": f"""WITH f AS (SELECT name, version, min(filename) AS file FROM artifacts GROUP BY ALL)
 SELECT ref, depends_on, count(*) AS n FROM (
   SELECT block.file_name AS ref, f.file AS depends_on FROM package_rows p JOIN f ON p.name = f.name AND p.version = f.version WHERE block.file_name IS NOT NULL
-  UNION ALL SELECT filename, depends_on.filename FROM artifacts WHERE filename IS NOT NULL AND depends_on.filename IS NOT NULL) GROUP BY ALL""",
+  UNION ALL SELECT filename, depends_on.filename FROM artifacts WHERE ({_PURL}) IS NOT NULL AND depends_on IS NOT NULL) GROUP BY ALL""",
     "reach_join": f"""WITH {_ADVISORIES}
 SELECT a.purl, {_JOINED.format("list(a.advisory_id)")} AS advisories, coalesce({_JOINED.format("list(h.advisory_id) FILTER (WHERE h.advisory_id IS NOT NULL)")}, '') AS reachable
 FROM adv a LEFT JOIN hits h ON a.purl = h.purl AND a.advisory_id = h.advisory_id GROUP BY a.purl""",
     "advisory_affects": f"""WITH {_ADVISORIES}
 SELECT a.advisory_id, coalesce({_JOINED.format("list(h.purl) FILTER (WHERE h.purl IS NOT NULL)")}, '') AS affects
 FROM adv a LEFT JOIN hits h ON a.purl = h.purl AND a.advisory_id = h.advisory_id GROUP BY a.advisory_id""",
-    "url_commit_extract": """SELECT npm_id, CAST(form AS INTEGER) AS form, CASE form WHEN 1 THEN CASE WHEN name IS NULL THEN NULL ELSE 'c' || npm_id END WHEN 2 THEN 'a' || npm_id WHEN 3 THEN 'b' || npm_id WHEN 4 THEN 'main' ELSE '' END AS commit_id
-FROM npm_packages, (SELECT unnest([0, 1, 2, 3, 4]) AS form) WHERE resolved IS NOT NULL""",
     "line_positions": """WITH t AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS lines FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, len(lines) AS n_lines, list_position([contains(x, 'package') for x in lines], true) AS k, lines FROM t)
 SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(nullif(coalesce(k, 0), 0) AS INTEGER) AS line_no, CAST(CASE WHEN k > 0 THEN instr(lines[k], 'package') END AS INTEGER) AS column_start, CAST(CASE WHEN k > 0 THEN instr(lines[k], 'package') + 7 END AS INTEGER) AS column_end FROM h""",
-    "line_columns": """WITH t AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS lines FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM t)
-SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(CASE WHEN trim(line) = '' THEN -1 ELSE length(line) - length(ltrim(line)) + 1 END AS INTEGER) AS first_column, CAST(CASE WHEN trim(line) = '' THEN -1 ELSE length(rtrim(line)) + 1 END AS INTEGER) AS last_column
-FROM l WHERE regexp_full_match(line, '[ -~]*')""",
+    "line_columns": r"""WITH t AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM t),
+b AS (SELECT doc_id, i, line, regexp_replace(line, '^[ \t\n\v\f\r]+', '') AS behind, regexp_replace(line, '[ \t\n\v\f\r]+$', '') AS before FROM l)
+SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(CASE WHEN behind = '' THEN -1 ELSE length(line) - length(behind) + 1 END AS INTEGER) AS first_column, CAST(CASE WHEN behind = '' THEN -1 ELSE length(before) + 1 END AS INTEGER) AS last_column FROM b""",
     "json_sections": """SELECT lock_id, CAST(CASE WHEN regexp_matches(content, '"packages"\\s*:\\s*\\{') THEN len(string_split(regexp_replace(content, '(?s)"packages"\\s*:\\s*\\{.*', ''), chr(10))) ELSE -1 END AS INTEGER) AS line_no,
   regexp_extract(content, '"version"\\s*:\\s*"[^"]*"') AS version_pair FROM lockfiles WHERE content IS NOT NULL""",
     "json_props_explode": "SELECT event_id, k AS prop, CAST(json_extract(props, '$.' || k) AS INTEGER) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",

@@ -221,6 +221,46 @@ def pnpm_closure(spark, d):
     return found.select(F.substring_index("source_path", "/", 3).alias("dir"), F.col("name").alias("node"), "is_direct", F.array_join("dep_groups", ",").alias("dep_groups"))
 
 
+def npm_group_merge(spark, d):
+    """A package that stands at several places of a package-lock.json has the groups of all of them."""
+    rows = table(spark, d, "package_rows").where("package_manager = 'NPM' and name is not null and version is not null")
+    has = lambda g: F.coalesce(F.array_contains("dep_groups", g), F.lit(False))
+    rows = rows.select(F.concat(F.lit("/p/"), F.shiftright("row_id", FOLDER).cast("string")).alias("dir"), "row_id", "name", "version", has("dev").alias("dev"), has("optional").alias("optional"))
+    entry = _t(_q(_t("node_modules/x", F.col("row_id").cast("string"), "/node_modules/", F.col("name"))), ': {"version": ', _q("version"), ', "dev": ', F.col("dev").cast("string"), ', "optional": ', F.col("optional").cast("string"), "}")
+    found = packages_of(parse_lockfiles(_file(rows, "package-lock.json", '{"packages": {', (entry, None, ", "), "}}")))
+    return found.select(F.substring_index("source_path", "/", 3).alias("dir"), "name", "version", F.array_join("dep_groups", ",").alias("dep_groups"))
+
+
+def url_commit_extract(spark, d):
+    """Commits of the addresses that a yarn.lock resolves to, in several forms."""
+    rows = table(spark, d, "npm_packages").where("resolved is not null")
+    number = F.col("npm_id").cast("string")
+    forms = F.array(
+        F.col("resolved"), _t("git+ssh://git@github.com/o/", F.coalesce("name", F.lit("")), ".git#c", number), _t("https://codeload.github.com/o/r/tar.gz/a", number), _t("https://github.com/o/r?ref=b", number), F.lit("https://gitlab.com/o/r#main"),
+    )
+    each = rows.select(F.concat(F.lit("/p/"), F.shiftright("npm_id", FOLDER).cast("string")).alias("dir"), F.col("npm_id").alias("row_id"), F.posexplode(forms).alias("form", "url"))
+    stanza = _t('"n', F.col("row_id").cast("string"), "-", F.col("form").cast("string"), '@1":\n  version "1"\n  resolved "', F.col("url"), '"')
+    found = packages_of(parse_lockfiles(_file(each, "yarn.lock", (stanza, None, "\n\n"), "\n")))
+    part = lambda i: F.regexp_extract("name", "^n([0-9]+)-([0-9])$", i)
+    return found.select(part(1).cast("long").alias("npm_id"), part(2).cast("int").alias("form"), F.col("commit").alias("commit_id"))
+
+
+def _places(c: str) -> list[Column]:
+    return [F.col(f"{c}.{n}").alias(f"{c}_{n}") for n in ("line_start", "column_start", "column_end")]
+
+
+def go_mod_places(spark, d):
+    """Where go.mod names each package: the whole requirement, its name and its version."""
+    found = packages_of(parse_lockfiles(_go(_rows(spark, d, "Golang")))).where("name <> 'stdlib'")
+    return found.select(F.substring_index("source_path", "/", 3).alias("dir"), "name", *_places("block"), *_places("name_loc"))
+
+
+def poetry_places(spark, d):
+    """Where pyproject.toml declares each package: the last line that holds its name, the name and the wanted version."""
+    found = packages_of(parse_lockfiles(_poetry(_rows(spark, d, "Poetry")))).where("block is not null")
+    return found.select(F.substring_index("source_path", "/", 3).alias("dir"), "name", *_places("block"), *_places("name_loc"), *_places("version_loc"))
+
+
 # --- formats that only a named parser reads -------------------------------------------------------------------------
 
 
@@ -251,6 +291,10 @@ QUERIES = {
     "pom_inheritance": pom_inheritance,
     "propagate_groups": propagate_groups,
     "pnpm_closure": pnpm_closure,
+    "npm_group_merge": npm_group_merge,
+    "url_commit_extract": url_commit_extract,
+    "go_mod_places": go_mod_places,
+    "poetry_places": poetry_places,
     "parse_csv": _read_as("csv", "x.csv", lambda: ((_t(_q("ecosystem"), ",,", _q("name"), ",", _q("version")), F.col("ecosystem") != "", "\n"), "\n")),
     "parse_results": _read_as("results", "x.json", lambda: ('{"results": [{"packages": [', (_t('{"package": {"name": ', _q("name"), ', "version": ', _q("version"), ', "ecosystem": ', _q("ecosystem"), ', "commit": ', _q("commit"), "}}"), None, ", "), "]}]}")),
     "parse_apk": _read_as("apk-installed", "installed", lambda: ((_t("C:Q1\nP:", _FIELD("name"), "\nV:", _FIELD("version"), "\nc:", _FIELD("commit")), None, "\n\n"), "\n")),
@@ -318,6 +362,18 @@ SELECT dir, node, grp FROM r""",
     "pnpm_closure": f"""WITH RECURSIVE {_NPM_NODES},
 r AS (SELECT dir, name AS node FROM nodes WHERE NOT dev UNION SELECT r.dir, l.d FROM r JOIN links l ON r.dir = l.dir AND r.node = l.a)
 SELECT r.dir, node, n.name IS NOT NULL AS is_direct, 'prod' AS dep_groups FROM r LEFT JOIN nodes n ON r.dir = n.dir AND r.node = n.name AND NOT n.dev""",
+    "npm_group_merge": """WITH g AS (SELECT '/p/' || (row_id >> 10) AS dir, name, version, list_concat(CASE WHEN coalesce(list_contains(dep_groups, 'dev'), false) THEN ['dev'] ELSE ['prod'] END, CASE WHEN coalesce(list_contains(dep_groups, 'optional'), false) THEN ['optional'] ELSE [] END) AS groups
+FROM package_rows WHERE package_manager = 'NPM' AND name IS NOT NULL AND version IS NOT NULL)
+SELECT dir, name, version, array_to_string(list_sort(list_distinct(flatten(list(groups)))), ',') AS dep_groups FROM g GROUP BY ALL""",
+    "url_commit_extract": """SELECT npm_id, CAST(form AS INTEGER) AS form, CASE form WHEN 1 THEN 'c' || npm_id WHEN 2 THEN 'a' || npm_id WHEN 3 THEN 'b' || npm_id WHEN 4 THEN 'main' ELSE '' END AS commit_id
+FROM npm_packages, (SELECT unnest([0, 1, 2, 3, 4]) AS form) WHERE resolved IS NOT NULL""",
+    "go_mod_places": f"""WITH {_P.format("Golang")}, l AS (SELECT dir, name, version, CAST(5 + row_number() OVER (PARTITION BY dir ORDER BY row_id) AS INTEGER) AS line, CAST(length(name) AS INTEGER) AS n FROM p)
+SELECT dir, name, line AS block_line_start, 2 AS block_column_start, CAST(n + length(version) + 4 AS INTEGER) AS block_column_end, line AS name_loc_line_start, 2 AS name_loc_column_start, n + 2 AS name_loc_column_end FROM l""",
+    "poetry_places": f"""WITH {_P.format("Poetry")}, n AS (SELECT dir, greatest(1, count(*) FILTER (WHERE direct AND grp <> 'dev')) AS firsts FROM p GROUP BY dir),
+d AS (SELECT p.dir, name || ' = "^' || version || '"' AS text, name AS own, version AS wants, CAST(CASE WHEN grp = 'dev' THEN 3 + firsts ELSE 1 END + row_number() OVER (PARTITION BY p.dir, grp = 'dev' ORDER BY row_id) AS INTEGER) AS line FROM p JOIN n ON p.dir = n.dir WHERE direct),
+m AS (SELECT p.dir, p.name, arg_max({{'line': line, 'text': text, 'own': own, 'wants': wants}}, line) AS x FROM p JOIN d ON p.dir = d.dir AND contains(lower(d.text), lower(p.name)) GROUP BY ALL)
+SELECT dir, name, x.line AS block_line_start, 1 AS block_column_start, CAST(length(x.text) + 1 AS INTEGER) AS block_column_end, x.line AS name_loc_line_start, CAST(instr(lower(x.text), lower(name)) AS INTEGER) AS name_loc_column_start,
+  CAST(instr(lower(x.text), lower(name)) + length(name) AS INTEGER) AS name_loc_column_end, x.line AS version_loc_line_start, CAST(length(x.own) + 5 AS INTEGER) AS version_loc_column_start, CAST(length(x.text) AS INTEGER) AS version_loc_column_end FROM m""",
     "parse_csv": f"SELECT dir, name, version, ecosystem, '' AS commit_id, count(*) AS n FROM ({_NAMED}) WHERE ecosystem <> '' GROUP BY ALL",
     "parse_results": f"SELECT dir, name, CASE WHEN commit_id = '' THEN version ELSE '' END AS version, CASE WHEN commit_id = '' THEN ecosystem ELSE '' END AS ecosystem, commit_id, count(*) AS n FROM ({_NAMED}) GROUP BY ALL",
     "parse_apk": f"SELECT dir, name, version, 'Alpine' AS ecosystem, commit_id, count(*) AS n FROM ({_NAMED}) GROUP BY ALL",

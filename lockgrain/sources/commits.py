@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Schemes that only repositories have, short names of hosts, and hosts whose plain URLs carry the commit
 #: as ref or fragment.
 REPOSITORY_SCHEMES = ("git", "git+ssh", "git+https", "ssh")
@@ -66,29 +63,3 @@ def find_commit(url: str | None) -> str:
         return ""
     ref = parse_qs(parts.query, keep_blank_values=True).get("ref")
     return ref[0] if ref else parts.fragment
-
-
-def commit_of(url: Column) -> Column:
-    """The commit in a URL column, '' if there is none, null for null; the same rules within Catalyst."""
-    word = lambda c: c.rlike(r"^\w+\z")
-    after = F.substring_index(url, "#", -1)
-    before = F.when(F.instr(url, "#") > 0, F.left(url, F.length(url) - F.length(after) - 1)).otherwise("")
-    opens = lambda s: before.startswith(s) | (F.instr(before, "@" + s) > 1)
-    short, schemed = F.lit(False), F.lit(False)
-    for h in SHORT_HOSTS:
-        short = short | (before.startswith(h + ":") & (F.length(before) > len(h) + 1))
-    for s in REPOSITORY_SCHEMES:
-        schemed = schemed | opens(s + "://")
-    stored = opens("https://") & before.endswith(".git") & ~before.endswith("/.git")
-    named = F.when(word(after) & (short | (~before.endswith("://") & (schemed | stored))), after)
-    marked = F.when((before != "") & F.left(after, F.lit(7)).isin("commit:", "commit=") & word(F.substr(after, F.lit(8))), F.substr(after, F.lit(8)))
-    steps = F.split(url, "/", -1)
-    back = lambda n: F.try_element_at(steps, F.lit(-n))
-    host = F.substring_index(url, "/", -4)
-    host = F.left(url, F.length(url) - F.length(host) - 1)
-    names = back(3).rlike(r"^[\w.-]+\z") & back(4).rlike(r"^[\w.-]+\z")
-    archive = F.when((F.size(steps) > 4) & (back(2) == "tar.gz") & word(back(1)) & names & host.endswith(ARCHIVES), back(1))
-    known = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).isin(*GIT_HOSTS)
-    query = F.regexp_extract(url, r"^[^#]*?[?&]ref=([^&#]*)", 1)
-    plain = F.when(known, F.when(url.rlike(r"^[^#]*[?&]ref="), query).otherwise(F.regexp_extract(url, r"#(.*)$", 1)))
-    return F.when(url.isNotNull(), F.coalesce(named, marked, archive, plain, F.lit("")))

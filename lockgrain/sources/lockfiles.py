@@ -179,15 +179,15 @@ def parse_lockfiles(files: DataFrame, parsers: list[str] | None = None) -> DataF
 
 def with_included(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Adds the rows of requirement files that are only read because another includes them, under the parser 'included'."""
-    parsed = cut_lineage(parsed)
+    parsed = latest = cut_lineage(parsed)
     while True:
-        asked = parsed.where("size(includes) > 0").select(F.explode("includes").alias("path")).distinct()
+        asked = latest.where("size(includes) > 0").select(F.explode("includes").alias("path")).distinct()
         missing = asked.join(parsed.select(F.col("source_path").alias("path")).distinct(), "path", "left_anti")
         more = files.join(missing, "path", "left_semi").select("path", "text", F.lit("requirements.txt").alias("parser"), F.lit(None).cast("array<struct<kind:string,file:string,manifest:string>>").alias("manifests"))
-        found = cut_lineage(more.mapInArrow(_parse, PARSED).withColumn("parser", F.lit("included")))
-        if found.isEmpty():
+        latest = cut_lineage(more.mapInArrow(_parse, PARSED).withColumn("parser", F.lit("included")))
+        if latest.isEmpty():
             return parsed
-        parsed = cut_lineage(parsed.unionByName(found))
+        parsed = parsed.unionByName(latest)
 
 
 def parse_as(files: DataFrame, parser: str) -> DataFrame:
@@ -239,7 +239,6 @@ def errors_of(parsed: DataFrame) -> DataFrame:
 
 
 
-
 def apk_packages(files: DataFrame, release_path: str = "/etc/alpine-release") -> DataFrame:
     """Packages of installed databases of Alpine; the release of the same image qualifies the ecosystem.
 

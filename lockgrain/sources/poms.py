@@ -39,34 +39,38 @@ def decode_poms(files: DataFrame) -> DataFrame:
 
 
 def pom_chains(poms: DataFrame, repository: DataFrame | None = None) -> DataFrame:
-    """(path, chain, parent_file): each pom with its parents, nearest first, in as many rounds as the longest chain.
+    """(path, chain, parent_file): each pom with its parents, nearest first.
+
+    Only paths travel while chains are found: a round joins each chain with the chain of the pom it ends at, so rounds
+    grow with the logarithm of the longest chain; contents are joined once at the end. A parent met before ends a chain.
 
     ``repository``: (path, text) of poms by repository path (group/artifact/version/artifact-version.pom), for parents
-    that no local file gives. A parent met before ends the chain.
+    that no local file gives.
     """
     good = poms.where("pom is not null")
-    known = good.select(F.col("path").alias("at"), F.col("pom").alias("up_pom"), F.col("parent").alias("up_parent"), F.col("remote").alias("up_remote"))
+    known = good.select("path", "pom", "parent", "remote", F.lit(True).alias("own"))
     if repository is not None:
         far = decode_poms(repository.select(F.concat(F.lit(maven.REMOTE + "://"), "path").alias("path"), "text")).where("pom is not null")
-        known = known.unionByName(far.select(F.col("path").alias("at"), F.col("pom").alias("up_pom"), F.col("parent").alias("up_parent"), F.col("remote").alias("up_remote")))
+        known = known.unionByName(far.select("path", "pom", "parent", "remote", F.lit(False).alias("own")))
     known = cut_lineage(known)
-    chains = cut_lineage(good.select("path", F.array("pom").alias("chain"), F.array("path").alias("seen"), "parent", "remote", F.lit(None).cast("string").alias("parent_file")))
-    done = None
-    while True:
-        local = known.select(F.col("at").alias("parent"), F.struct("at", "up_pom", "up_parent", "up_remote").alias("near"))
-        remote = known.where(F.startswith("at", F.lit(maven.REMOTE + "://"))).select(F.substr("at", F.lit(len(maven.REMOTE) + 4)).alias("remote"), F.struct("at", "up_pom", "up_parent", "up_remote").alias("far"))
-        step = chains.join(local, "parent", "left").join(remote, "remote", "left").withColumn("hit", F.coalesce("near", "far"))
-        fresh = F.col("hit").isNotNull() & ~F.array_contains("seen", F.col("hit.at"))
-        wanted = F.when(F.col("near").isNotNull() | (F.coalesce("remote", F.lit("")) == ""), F.col("parent")).otherwise(F.concat(F.lit(maven.REMOTE + "://"), "remote"))
-        step = step.withColumns({"go": F.coalesce(fresh, F.lit(False)), "parent_file": F.when(F.size("seen") == 1, wanted).otherwise(F.col("parent_file"))})
-        ended = step.where("not go").select("path", "chain", "parent_file")
-        done = ended if done is None else done.union(ended)
-        chains = step.where("go").select(
-            "path", F.concat("chain", F.array("hit.up_pom")).alias("chain"), F.concat("seen", F.array("hit.at")).alias("seen"), F.col("hit.up_parent").alias("parent"), F.col("hit.up_remote").alias("remote"), "parent_file"
-        )
-        done, chains = cut_lineage(done), cut_lineage(chains)
-        if chains.isEmpty():
-            return done
+    paths = known.select("path")
+    away = F.when(F.coalesce("remote", F.lit("")) != "", F.concat(F.lit(maven.REMOTE + "://"), "remote"))
+    links = known.select("path", "parent", away.alias("away"), "own").join(paths.withColumnRenamed("path", "parent").withColumn("near", F.col("parent")), "parent", "left")
+    links = links.join(paths.withColumnRenamed("path", "away").withColumn("far", F.col("away")), "away", "left")
+    wanted = F.when(F.col("near").isNotNull() | F.col("away").isNull(), F.col("parent")).otherwise(F.col("away"))
+    links = cut_lineage(links.select("path", "own", F.coalesce("near", "far").alias("next"), wanted.alias("parent_file")))
+
+    chains = cut_lineage(links.select("path", F.array("path").alias("ids"), "next"))
+    while not chains.where("next is not null").isEmpty():
+        onward = chains.select(F.col("path").alias("next"), F.col("ids").alias("more"), F.col("next").alias("after"))
+        both = F.concat("ids", F.coalesce("more", F.array().cast("array<string>")))
+        ids = F.array_distinct(both)
+        after = F.when(F.size(ids) == F.size(both), F.col("after"))
+        chains = cut_lineage(chains.join(onward, "next", "left").select("path", ids.alias("ids"), after.alias("next")))
+
+    places = chains.join(links.where("own").select("path"), "path", "left_semi").select("path", F.posexplode("ids").alias("at", "id"))
+    contents = places.join(known.select(F.col("path").alias("id"), "pom"), "id").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "pom"))).alias("found"))
+    return contents.select("path", F.transform("found", lambda x: x["pom"]).alias("chain")).join(links.where("own").select("path", "parent_file"), "path")
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

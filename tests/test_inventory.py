@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lockgrain.functions import positions
 from lockgrain.functions.devgroup import is_dev_group
 from lockgrain.functions.purl import purl
-from lockgrain.operators import enrich, graph, inventory, reach
+from lockgrain.operators import graph, inventory, reach
 
 PACKAGE = "source_path string, name string, version string, ecosystem string, `commit` string, package_manager string, dep_groups array<string>, is_direct boolean, block struct<file_name:string,line_start:int,line_end:int,column_start:int,column_end:int>, name_loc struct<file_name:string,line_start:int,line_end:int,column_start:int,column_end:int>, version_loc struct<file_name:string,line_start:int,line_end:int,column_start:int,column_end:int>, extra string"
 
@@ -56,10 +56,7 @@ def test_sanitize_identify_merge(spark):
     assert inventory.merge_by_purl(good.limit(0)).collect() == []
 
 
-def test_npm_merge_and_order(spark):
-    df = spark.createDataFrame([("k", ["dev"], 1), ("k", ["optional", "dev"], 2), ("p", ["dev"], 1), ("p", [], 2), ("q", None, 1)], "key string, dep_groups array<string>, ord int")
-    got = {r.key: (r.dep_groups, r.ord) for r in inventory.merge_npm_groups(df, ["key"], F.col("ord")).collect()}
-    assert got == {"k": (["dev", "optional"], 2), "p": ([], 2), "q": ([], 1)}
+def test_order(spark):
     ids = spark.createDataFrame([("GHSA-1",), ("OSV-1",), ("CVE-2",), ("CVE-1",)], "id string")
     from lockgrain.sinks.cyclonedx import ordered_ids
 
@@ -71,33 +68,7 @@ def test_graph(spark):
     edges = spark.createDataFrame([("s", "r", "a"), ("s", "a", "b"), ("s", "b", "a"), ("s", "a", None), (None, "x", "y"), ("s", "r", "a")], "source_path string, parent_key string, child_key string")
     pairs = {(r.ancestor, r.node, r.distance) for r in graph.closure(edges).where("source_path = 's'").collect()}
     assert pairs == {("r", "a", 1), ("r", "b", 2), ("a", "b", 1), ("a", "a", 2), ("b", "a", 1), ("b", "b", 2)}
-    groups = spark.createDataFrame([("s", "r", "prod"), ("s", "b", "dev"), ("s", None, "x")], "source_path string, node string, grp string")
-    got = {(r.node, r.grp) for r in graph.propagate_groups(edges, groups).collect()}
-    assert got == {("r", "prod"), ("a", "prod"), ("b", "prod"), ("b", "dev"), ("a", "dev")}
-    roots = spark.createDataFrame([("s", "r", ["prod"])], "source_path string, node string, dep_groups array<string>")
-    assert {(r.node, tuple(r.dep_groups), r.is_direct) for r in graph.closure_groups(roots, edges).collect()} == {("r", ("prod",), True), ("a", ("prod",), False), ("b", ("prod",), False)}
-    parents = spark.createDataFrame([("c", "p"), ("p", "g"), ("g", None), ("l", "l")], "node string, parent string")
-    own = spark.createDataFrame([("g", "k", "1"), ("g", "j", "9"), ("p", "k", "2"), ("l", "k", "3")], "node string, key string, value string")
-    assert {(r.node, r.key, r.value, r.distance) for r in graph.inherit(parents, own).collect()} == {("g", "k", "1", 0), ("g", "j", "9", 0), ("p", "k", "2", 0), ("p", "j", "9", 1), ("c", "k", "2", 1), ("c", "j", "9", 2), ("l", "k", "3", 0)}
-    packages = spark.createDataFrame([("s", 1, "b@1", "b", ["^1"]), ("s", 2, "b@2", "b", ["^1", "npm:^2"])], "source_path string, ord int, key string, name string, target_versions array<string>")
-    wants = spark.createDataFrame([("s", "a@1", "b", "^1", "npm"), ("s", "a@1", "b", "^2", "npm"), ("s", "a@1", "b", "^9", "npm")], "source_path string, parent_key string, name string, spec string, registry string")
-    assert sorted(r.child_key for r in graph.child_lookup(wants, packages).collect()) == ["b@2", "b@2"]
-    assert graph.closure(edges.limit(0)).collect() == [] and graph.propagate_groups(edges, groups.limit(0)).collect() == []
-
-
-def test_enrich(spark):
-    packages = spark.createDataFrame([(1, "d", "a", ["^1"], ["x"], False), (2, "d", "b", ["2"], None, None), (3, "e", "a", ["^1"], None, True), (4, "d", None, None, None, None)], "pid int, dir string, name string, target_versions array<string>, dep_groups array<string>, is_direct boolean")
-    declared = spark.createDataFrame([("d", "a", "^1", "prod", 1), ("d", "a", "^1", "dev", 2), ("d", "b", "3", "dev", 3)], "dir string, name string, spec string, grp string, ord int")
-    got = {r.pid: (r.is_direct, r.dep_groups) for r in enrich.match_declared(packages, declared, by_spec=True).collect()}
-    assert got == {1: (True, ["x", "dev", "prod"]), 2: (False, None), 3: (True, None), 4: (False, None)}
-    got = {r.pid: r.dep_groups for r in enrich.match_declared(packages, declared, by_spec=False, replace_groups=True).collect()}
-    assert got[1] == ["dev", "prod"] and got[2] == ["dev"]
-    lines = spark.createDataFrame([("d", 1, "A = 1", False), ("d", 2, "xay", True), ("d", 3, None, True)], "dir string, line_no int, text string, dev boolean")
-    got = {r.pid: (r.is_direct, r.line_no, r.dep_groups) for r in enrich.match_lines(packages, lines, "dev").collect()}
-    assert got[1] == (True, 2, ["x", "dev"]) and got[3][1] is None and got[4] == (False, None, None)
-    managed = spark.createDataFrame([("s", "g:a", "7", "TEST")], "source_path string, name string, managed_version string, scope string")
-    rows = spark.createDataFrame([("s", "g:a", "", None), ("s", "g:b", "1", ["x"])], "source_path string, name string, version string, dep_groups array<string>")
-    assert {(r["name"], r.version, tuple(r.dep_groups or ())) for r in enrich.fill_managed(rows, managed).collect()} == {("g:a", "7", ("test",)), ("g:b", "1", ("x",))}
+    assert graph.closure(edges.limit(0)).collect() == []
 
 
 def test_reach(spark):
@@ -138,5 +109,9 @@ def test_columns_of_every_line(spark, tmp_path):
         for n, line in enumerate(re.split("\r\n|\r|\n", text) if text is not None else ()):
             at = [k for k, c in enumerate(line) if c not in " \t\f"]
             want.append((i, n, at[0] + 1 if at else -1, at[-1] + 2 if at else -1))
-    assert sorted(tuple(r) for r in QUERIES["line_columns_all"](spark, str(tmp_path)).collect()) == want
-    assert "line_columns_all" not in SQL
+    assert sorted(tuple(r) for r in QUERIES["line_columns"](spark, str(tmp_path)).collect()) == want
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(SQL["line_columns"]).fetchall()) == want

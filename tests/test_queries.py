@@ -12,10 +12,10 @@ DATA = os.environ.get("LOCKGRAIN_TEST_DATA", "/root/testdata/sf0.001")
 if not os.path.isdir(DATA):
     pytest.skip("no test tables", allow_module_level=True)
 
-from lockgrain.plans import corpus, inventory, versions  # noqa: E402
+from lockgrain.plans import corpus, inventory, parsers, versions  # noqa: E402
 
-QUERIES = {**corpus.QUERIES, **inventory.QUERIES, **versions.QUERIES}
-SQL = {**corpus.SQL, **inventory.SQL, **versions.SQL}
+QUERIES = {**corpus.QUERIES, **inventory.QUERIES, **parsers.QUERIES, **versions.QUERIES}
+SQL = {**corpus.SQL, **inventory.SQL, **parsers.SQL, **versions.SQL}
 
 
 @pytest.fixture(scope="module")
