@@ -9,7 +9,7 @@ from lockgrain.llm.canonical import canonical_records, collapse, duplicates, jso
 from lockgrain.llm.mixing import pareto_mix
 from lockgrain.llm.tokens import encode_corpus
 from lockgrain.llm.topk import frequent_items, top_k
-from lockgrain.llm.truncation import truncated, truncation_rates
+from lockgrain.llm.truncation import evidence, truncated, truncation_rates
 from lockgrain.session import table
 
 RECORD = ("name", "version", "ecosystem")
@@ -61,7 +61,12 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p5_found, p5_top_names, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)}
+def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What shows the cuts, and in how many texts."""
+    return evidence(table(spark, d, "documents")).groupBy("why").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p5_found, p5_top_names, p7_ids, p8_mix, p8_shares, p9_found, p9_rates, p9_evidence)}
 
 _CANON = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _REPORTS = """

@@ -24,42 +24,64 @@ from pyspark.sql import functions as F
 from lockgrain.session import cut_lineage
 
 #: Characters and longer marks that may follow a cut.
-SPACE = " \\t\\n\\u000b\\u000c\\r"
-MARK_CHARS, LONG_MARKS = SPACE + "\\u2026\\ufffd", ("[...]", "[\\u2026]", "...")
+SPACES, OTHER_MARKS, LONG_MARKS = (" ", "\\t", "\\n", "\\u000b", "\\u000c", "\\r"), ("\\u2026", "\\ufffd"), ("[...]", "[\\u2026]", "...")
+SPACE, MARKS = "".join(SPACES), (*SPACES, *OTHER_MARKS)
+MARK_CHARS = "".join(MARKS)
 
 
 def _unmarked(text: str, times: int = 3) -> str:
-    """SQL for a text without the marks at its end; works from the end, so its cost is that of the marks."""
+    """SQL for a text without the marks at its end; few texts have one, and only those are trimmed."""
+    ends = " OR ".join(f"endswith({text}, '{m}')" for m in (*MARKS, *LONG_MARKS))
+    trimmed = text
     for _ in range(times):
-        ends = " ".join(f"WHEN endswith(x, '{m}') THEN left(x, length(x) - {len(m.encode().decode('unicode_escape'))})" for m in LONG_MARKS)
-        text = f"get(transform(array(rtrim('{MARK_CHARS}', {text})), x -> CASE {ends} ELSE x END), 0)"
-    return f"rtrim('{MARK_CHARS}', {text})"
+        cases = " ".join(f"WHEN endswith(x, '{m}') THEN left(x, length(x) - {len(m.encode().decode('unicode_escape'))})" for m in LONG_MARKS)
+        trimmed = f"get(transform(array(rtrim('{MARK_CHARS}', {trimmed})), x -> CASE {cases} ELSE x END), 0)"
+    return f"CASE WHEN {ends} THEN rtrim('{MARK_CHARS}', {trimmed}) ELSE {text} END"
 
 
 FEW_WORDS = 300_000  # common words up to which their table is broadcast
 SPELLED = 40  # characters up to which all beginnings of a word are listed; longer ones are compared with the endings looked for
 
+#: Characters of scripts written without spaces, as ranges, since names of scripts are looked up slowly.
+UNSPACED_RANGES = (
+    (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3041, 0x3096), (0x309D, 0x309F), (0x30A1, 0x30FA), (0x30FD, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x323AF),
+)
+UNSPACED = "".join(f"{chr(first)}-{chr(last)}" for first, last in UNSPACED_RANGES)
+#: SQL for a text with no such character and none of their stops: one range, which is looked for fast.
+_SPACED = f"NOT {{0}} RLIKE '[{chr(0x2E80)}-{chr(0x10FFFF)}]'"
+
+
+def _plain(x: str) -> str:
+    """SQL for prose with ' ⏎ ' at the ends of sentences and lines, in lower case, numbers as 0, unspaced scripts by character."""
+    spaced = rf"replace(lower(regexp_replace({x}, '[.!?]+(?=\\s|$)', ' ⏎ ')), '\n', ' ⏎ ')"
+    other = rf"regexp_replace(replace(lower(regexp_replace({x}, '([.!?。！？]+)(?=\\s|$|[{UNSPACED}])|([。！？])', ' ⏎ ')), '\n', ' ⏎ '), '([{UNSPACED}、])', ' $1 ')"
+    return rf"regexp_replace(CASE WHEN {_SPACED.format(x)} THEN {spaced} ELSE {other} END, '\\p{{{{Nd}}}}+', '0')"
+
+
+def _code(x: str) -> str:
+    """SQL for a code block: its line breaks are words, not boundaries."""
+    line = rf"replace(lower({x}), '\n', ' <nl> ')"
+    return rf"concat(' ⏎ <code> ', regexp_replace(CASE WHEN {_SPACED.format(x)} THEN {line} ELSE regexp_replace({line}, '([{UNSPACED}、])', ' $1 ') END, '\\p{{{{Nd}}}}+', '0'))"
+
+
+#: The last part is inside a code block if it never closes. Positions before, before that and behind come from shifted copies.
 _WORDS = r"""
-WITH base AS (
-  SELECT row, text, __WHOLE__ AS whole FROM {docs} WHERE rtrim('__SPACE__', text) <> ''),
-shown AS (SELECT row, text, __SHOWN__ AS t, (length(whole) - length(replace(whole, '```', ''))) DIV 3 % 2 = 1 AS open FROM base),
-parts AS (SELECT row, t, text, open, split(t, '```', -1) AS p FROM shown),
-coded AS (  -- code blocks: their line breaks are words, not boundaries; the last part is inside one if it never closes
-  SELECT row, t, text, open, array_join(transform(p, (x, i) -> CASE WHEN (size(p) - 1 - i + CASE WHEN open THEN 1 ELSE 0 END) % 2 = 1
-      THEN concat(' ⏎ <code> ', regexp_replace(x, '\\n', ' <nl> '))
-      ELSE concat(CASE WHEN i > 0 THEN ' </code> ⏎ ' ELSE '' END, regexp_replace(regexp_replace(x, '([.!?。！？]+)(?=\\s|$|[\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}])|([。！？])', ' ⏎ '), '\\n', ' ⏎ ')) END), '') AS s
+WITH base AS (SELECT *, __WHOLE__ AS whole FROM {docs} WHERE text RLIKE '[^__SPACE__]'),
+shown AS (SELECT * EXCEPT (whole), __SHOWN__ AS t, instr(whole, '```') > 0 AND (length(whole) - length(replace(whole, '```', ''))) DIV 3 % 2 = 1 AS open FROM base),
+parts AS (SELECT *, CASE WHEN open OR instr(t, '```') > 0 THEN split(t, '```', -1) END AS p FROM shown),
+coded AS (
+  SELECT * EXCEPT (p), CASE WHEN p IS NULL THEN __PLAIN_T__
+    ELSE array_join(transform(p, (x, i) -> CASE WHEN (size(p) - 1 - i + CASE WHEN open THEN 1 ELSE 0 END) % 2 = 1
+      THEN __CODE__ ELSE concat(CASE WHEN i > 0 THEN ' </code> ⏎ ' ELSE '' END, __PLAIN_X__) END), '') END AS s
   FROM parts),
-words AS (
-  SELECT row, t, text, open, filter(split(regexp_replace(lower(regexp_replace(s, '([\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}、])', ' $1 ')), '\\p{{Nd}}+', '0'), '\\s+', -1), x -> x <> '') AS w
-  FROM coded),
+words AS (SELECT * EXCEPT (s), array_remove(split(s, '\\s+', -1), '') AS w FROM coded),
 tri AS (
-  SELECT row, t, text, size(w) AS n, inline(transform(w, (x, i) -> named_struct(
-    'i', i, 'c', x,
-    'b', coalesce(get(w, i - 1), '⏎'),
-    'a', CASE WHEN coalesce(get(w, i - 1), '⏎') = '⏎' THEN '⏎' ELSE coalesce(get(w, i - 2), '⏎') END,
-    'ends', coalesce(get(w, i + 1) = '⏎', NOT open))))
-  FROM words)
-""".replace("__WHOLE__", _unmarked("text")).replace("__SPACE__", SPACE)
+  SELECT c, b, CASE WHEN b = '⏎' THEN '⏎' ELSE a END AS a, coalesce(next = '⏎', NOT open) AS ends
+  FROM (SELECT open, inline(arrays_zip(c, b, a, next)) FROM (SELECT open, w AS c, concat(array('⏎'), w) AS b, concat(array('⏎', '⏎'), w) AS a, slice(w, 2, size(w)) AS next FROM words))
+  WHERE c <> '⏎')
+"""
+for _k, _v in {"__WHOLE__": _unmarked("text"), "__SPACE__": SPACE, "__PLAIN_T__": _plain("t"), "__PLAIN_X__": _plain("x"), "__CODE__": _code("x")}.items():
+    _WORDS = _WORDS.replace(_k, _v)
 #: All words of a text, or those of its last pieces: words hold no space, so the last eight hold the last three words.
 _ALL, _LAST = _WORDS.replace("__SHOWN__", "whole"), _WORDS.replace("__SHOWN__", "substring_index(whole, ' ', -8)")
 
@@ -71,36 +93,42 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 #: The last word of each text with the two before it. stopped: a closing mark follows it.
 _FINALS = """
-, lasts AS (
-  SELECT row, text, t, w, open, size(w) - array_position(transform(reverse(w), x -> x <> '⏎'), true) AS j FROM words WHERE exists(w, x -> x <> '⏎'))
-SELECT row, open, text LIKE '%\\ufffd' AS broken, t RLIKE '[.!?。！？]$' AS stopped,
-  CASE WHEN t RLIKE '[.]$' AND NOT t RLIKE '[.][.]$' THEN concat(w[j], '.') ELSE w[j] END AS ending, w[j] AS c,
-  coalesce(get(w, j - 1), '⏎') AS b,
-  CASE WHEN coalesce(get(w, j - 1), '⏎') = '⏎' THEN '⏎' ELSE coalesce(get(w, j - 2), '⏎') END AS a
+, lasts AS (SELECT * EXCEPT (s), array_remove(split(regexp_replace(s, '[\\\\s⏎]+$', ''), '\\\\s+', -1), '') AS w FROM coded)
+SELECT row, source, length(text) AS chars, octet_length(text) AS bytes, open, endswith(text, '\\ufffd') AS broken, substring(t, -1) IN ('.', '!', '?', '。', '！', '？') AS stopped,
+  CASE WHEN endswith(t, '.') AND NOT endswith(t, '..') THEN concat(get(w, size(w) - 1), '.') ELSE get(w, size(w) - 1) END AS ending, get(w, size(w) - 1) AS c,
+  coalesce(get(w, size(w) - 2), '⏎') AS b,
+  CASE WHEN coalesce(get(w, size(w) - 2), '⏎') = '⏎' THEN '⏎' ELSE coalesce(get(w, size(w) - 3), '⏎') END AS a
 FROM lasts
 """
 
+
+def final_words(docs: DataFrame) -> DataFrame:
+    """Of each text that isn't blank: row, source, lengths, its last three words and how it stops. Read from its end only."""
+    return docs.sparkSession.sql(_LAST + _FINALS, docs=docs)
+
+
 #: Rare words share a class; of the two words before the last also every name, number and path, common or not.
 _CLASS = "CASE WHEN {x} = '⏎' OR {v}.word IS NOT NULL{but} THEN {x} ELSE concat('<x>', regexp_extract({x}, '[,;:)]+$', 0)) END"
-_A, _B, _C = (_CLASS.format(x=f"t.{k}", v=f"v{k}", but="" if k == "c" else f" AND NOT t.{k} RLIKE '[\\\\p{{{{L}}}}0][-_/@:.=+][\\\\p{{{{L}}}}0]'") for k in "abc")
+_A, _B, _C = (_CLASS.format(x=f"t.{k}", v=f"v{k}", but="" if k == "c" else f" AND NOT t.{k} RLIKE '(?<=[\\\\p{{{{L}}}}0])[-_/@:.=+](?=[\\\\p{{{{L}}}}0])'") for k in "abc")
 _CLASSED = f"""
 SELECT {{columns}}, {_A} AS a, {_B} AS b, {_C} AS c, vc.word IS NOT NULL AS known
 FROM {{t}} t LEFT JOIN {{va}} va ON t.a = va.word LEFT JOIN {{vb}} vb ON t.b = vb.word LEFT JOIN {{vc}} vc ON t.c = vc.word
 """
 
 #: n, e: occurrences and ends of the trigram or pair; more: occurrences of words that continue the last word.
+#: code and character are told from the text alone, length needs a pile-up, all others are counts.
 _VERDICT = """
 SELECT row, a, b, c, ending, stopped, broken, open, piled, n3, e3, n2, e2, n1, e1, more3, more2,
   CASE
-    WHEN broken OR open THEN true
-    WHEN more3 >= 3 AND same3 <= {rate} * more3 THEN true
-    WHEN more3 = 0 AND NOT known AND more2 >= 5 AND n3 < 4 THEN true
-    WHEN stopped THEN piled AND n3 >= 20 AND e3 <= {rate} * n3
-    WHEN piled THEN n3 < 4 OR e3 <= 0.5 * n3
-    WHEN n3 >= 8 THEN e3 <= {rate} * n3
-    WHEN n2 >= 8 THEN e2 <= {rate} * n2
-    WHEN known AND n2 >= 1 AND n1 >= 20 THEN e1 <= {rate} * n1
-    ELSE false END AS cut
+    WHEN broken THEN 'character'
+    WHEN open THEN 'code'
+    WHEN more3 >= 3 AND same3 <= {rate} * more3 THEN 'longer word'
+    WHEN more3 = 0 AND NOT known AND more2 >= 5 AND n3 < 4 THEN 'longer word after one'
+    WHEN stopped THEN CASE WHEN piled AND n3 >= 20 AND e3 <= {rate} * n3 THEN 'length and trigram' END
+    WHEN piled THEN CASE WHEN n3 < 4 THEN 'length' WHEN e3 <= 0.5 * n3 THEN 'length and trigram' END
+    WHEN n3 >= 8 THEN CASE WHEN e3 <= {rate} * n3 THEN 'trigram' END
+    WHEN n2 >= 8 THEN CASE WHEN e2 <= {rate} * n2 THEN 'pair' END
+    WHEN known AND n2 >= 1 AND n1 >= 20 THEN CASE WHEN e1 <= {rate} * n1 THEN 'word' END END AS why
 FROM (
   SELECT f.*, coalesce(t3.n, 1) - 1 AS n3, greatest(coalesce(t3.e, 1) - CASE WHEN f.open THEN 0 ELSE 1 END, 0) AS e3,
     CASE WHEN f.known THEN (CASE WHEN f.stopped THEN coalesce(t3.e, 1) ELSE coalesce(t3.n, 1) END) - 1 ELSE 0 END AS same3,
@@ -117,9 +145,13 @@ FROM (
 
 def pile_ups(docs: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
     """(source, unit, size): lengths that at least ``share`` of a source's texts have, ``least`` at the fewest."""
-    sizes = docs.where("text is not null and text <> ''").select(
-        F.coalesce("source", F.lit("")).alias("source"), F.expr("stack(2, 'chars', length(text), 'bytes', octet_length(text))").alias("unit", "size")
-    )
+    texts = docs.where("text is not null and text <> ''")
+    return _piles(texts.select("source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")), least, share)
+
+
+def _piles(lengths: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
+    """pile_ups from (source, chars, bytes)."""
+    sizes = lengths.select(F.coalesce("source", F.lit("")).alias("source"), F.expr("stack(2, 'chars', chars, 'bytes', bytes)").alias("unit", "size"))
     counts = sizes.groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
     totals = counts.groupBy("source", "unit").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     # a source of few lengths throughout (fixed-size records) has no pile-up: the length must stand out from the mean
@@ -127,44 +159,52 @@ def pile_ups(docs: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, rate: float = 0.02, share: float = 0.001) -> DataFrame:
-    """One row per text that has a word: row (its id), the counts of its final trigram, and cut.
+    """One row per text that has a word: row (its id), the counts of its final trigram, and why it counts as cut (null: it doesn't).
 
     ``docs`` has row, source and text. ``rate``: up to this part of a trigram's occurrences may be at ends ("almost never").
     ``share``: a word is common from this share of the texts on (three occurrences at least).
+
+    The texts are read twice, once for all trigrams and once for their ends; all that follows works on counts.
     """
     spark = docs.sparkSession
     raw = cut_lineage(trigram_counts(docs))
-    piles = cut_lineage(pile_ups(docs))  # at most 1 / share lengths a source and unit
-    sized = docs.select("row", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-    piled = sized.join(piles, (sized.source == piles.source) & F.when(piles.unit == "chars", sized.chars == piles["size"]).otherwise(sized.bytes == piles["size"]), "left_semi")
-    finals = spark.sql(_LAST + _FINALS, docs=docs).join(piled.select("row").distinct().withColumn("piled", F.lit(True)), "row", "left").withColumn("piled", F.coalesce("piled", F.lit(False)))
-    least = max(3.0, share * docs.where("text is not null").count())
+    finals = cut_lineage(final_words(docs)).where("c is not null")  # behind the checkpoint, else words would be read twice
+    piles = _piles(finals)  # at most 1 / share lengths a source and unit
+    by_unit = lambda unit: piles.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"piled_{unit}"))
+    ends = finals.withColumn("source", F.coalesce("source", F.lit(""))).join(by_unit("chars"), ["source", "chars"], "left").join(by_unit("bytes"), ["source", "bytes"], "left")
+    ends = ends.withColumn("piled", F.coalesce("piled_chars", "piled_bytes", F.lit(False)))
+    least = max(3.0, share * finals.count())
     words = cut_lineage(raw.groupBy(F.col("c").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word"))
     near = F.broadcast(words) if words.count() <= FEW_WORDS else words
     t3 = spark.sql(_CLASSED.replace("{columns}", "t.n, t.at_end"), t=raw, va=near, vb=near, vc=near)
     t3 = cut_lineage(t3.groupBy("a", "b", "c").agg(F.sum("n").alias("n"), F.sum("at_end").alias("e"), F.max("known").alias("known")))
-    last = cut_lineage(spark.sql(_CLASSED.replace("{columns}", "t.row, t.broken, t.stopped, t.open, t.ending, t.piled"), t=finals, va=near, vb=near, vc=near))
-    t2 = t3.groupBy("b", "c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    t1 = t3.groupBy("c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - 1), lambda k: F.substring("c", F.lit(1), k))).alias("p")
-    longer = t3.where(f"known and length(c) between 2 and {SPELLED}").select("a", "b", "n", starts)
-    wanted = last.select("a", "b", F.col("ending").alias("p")).distinct()
-
-    def continued(*before: str) -> DataFrame:
-        """(before, p, n): occurrences of known words that continue p after the same words."""
-        ends = wanted.select(*before, "p").distinct()
-        long = t3.where(f"known and length(c) > {SPELLED}").groupBy(*before, "c").agg(F.sum("n").alias("n")).join(ends, [*before])
-        long = long.where("startswith(c, p) and c <> p").select(*before, "p", "n")
-        return longer.select(*before, "p", "n").join(ends, [*before, "p"], "left_semi").unionByName(long).groupBy(*before, "p").agg(F.sum("n").alias("n"))
-
-    p3, p2 = continued("a", "b"), continued("b")
-    return spark.sql(_VERDICT.replace("{rate}", repr(float(rate))), finals=last, t3=t3.drop("known"), t2=t2, t1=t1, p3=p3, p2=p2)
+    last = cut_lineage(spark.sql(_CLASSED.replace("{columns}", "t.row, t.broken, t.stopped, t.open, t.ending, t.piled"), t=ends, va=near, vb=near, vc=near))
+    t2 = t3.groupBy("b", "c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max("known").alias("known"))
+    t1 = t2.groupBy("c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+
+    def continued(counts: DataFrame, *before: str) -> DataFrame:
+        """(before, p, n): occurrences of known words that continue p after the same words. Only words behind which some
+        text ends are spelled out."""
+        wanted = last.select(*before, F.col("ending").alias("p")).distinct()
+        near = counts.where("known").join(wanted.select(*before).distinct(), [*before], "left_semi")
+        starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - 1), lambda k: F.left("c", k))).alias("p")
+        spelled = near.where(f"length(c) between 2 and {SPELLED}").select(*before, "n", starts).join(wanted, [*before, "p"], "left_semi")
+        long = near.where(f"length(c) > {SPELLED}").join(wanted, [*before]).where("startswith(c, p) and c <> p").select(*before, "n", "p")
+        return spelled.unionByName(long).groupBy(*before, "p").agg(F.sum("n").alias("n"))
+
+    p3, p2 = continued(t3, "a", "b"), continued(t2, "b")
+    return spark.sql(_VERDICT.replace("{rate}", repr(float(rate))), finals=last, t3=t3.drop("known"), t2=t2.drop("known"), t1=t1, p3=p3, p2=p2)
+
+
+def evidence(docs: DataFrame, doc_id: str = "doc_id", **parameters) -> DataFrame:
+    """(doc_id, why): the texts that were cut, and what shows it."""
+    judged = verdicts(docs.select(F.col(doc_id).alias("row"), F.col("source").cast("string"), F.col("text").cast("string")), **parameters)
+    return judged.where("why is not null").groupBy(F.col("row").alias(doc_id)).agg(F.min("why").alias("why"))
 
 
 def truncated(docs: DataFrame, doc_id: str = "doc_id", **parameters) -> DataFrame:
     """The ids of the texts that were cut. ``docs`` has the id, source and text; other columns are ignored."""
-    judged = verdicts(docs.select(F.col(doc_id).alias("row"), F.col("source").cast("string"), F.col("text").cast("string")), **parameters)
-    return judged.where("cut").select(F.col("row").alias(doc_id)).distinct()
+    return evidence(docs, doc_id, **parameters).select(doc_id)
 
 
 def truncation_rates(docs: DataFrame, doc_id: str = "doc_id", **parameters) -> DataFrame:
