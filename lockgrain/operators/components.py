@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockgrain.session import cut_lineage
+from lockgrain.session import cut_lineage, replace_lineage
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -43,9 +43,9 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
     col = lambda x: F.col(x) if isinstance(x, str) else x
     now = edges.select(col(a).alias("u"), col(b).alias("v")).where("u is not null and v is not null and u <> v")
     now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    mark = None
+    now, mark = cut_lineage(now), None
     for _ in range(most_rounds):
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = replace_lineage(_small_star(_large_star(now)), now)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break
@@ -53,3 +53,35 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def linked_components(links: DataFrame) -> DataFrame:
+    """(node, component, parents) of every node of distinct (k, p) links from a child to its parent or null.
+
+    Each node follows one of its parents; pointers double, so after as many rounds as the logarithm of the depth every
+    node of a tree knows its root. Only the links of nodes with several parents and of circles are left for the search
+    among roots. ``parents`` is the number of links to parents.
+    """
+    ends = links.select("k", "p").union(links.where("p is not null").select("p", F.lit(None).cast("long")))
+    nodes = cut_lineage(ends.groupBy("k").agg(F.min("p").alias("up"), F.count("p").alias("parents")))
+    state = cut_lineage(nodes.select("k", F.coalesce("up", "k").alias("at"), F.col("up").isNull().alias("done")))
+    left = None
+    while True:  # a round in which no node reaches a root leaves circles only, and what hangs below them
+        still = state.where("not done").count()
+        if still in (0, left):
+            break
+        left = still
+        ahead = state.select(F.col("k").alias("at"), F.col("at").alias("next"), F.col("done").alias("ended"))
+        step = state.where("not done").join(ahead, "at").select("k", F.col("next").alias("at"), F.col("ended").alias("done"))
+        state = replace_lineage(state.where("done").unionByName(step), state)
+    label = F.when(F.col("done"), F.col("at")).otherwise(F.col("k"))
+    labels = state.select(F.col("k").alias("node"), label.alias("label"))
+    open_ = nodes.where("parents > 1").select("k").union(state.where("not done").select("k")).distinct()
+    loose = links.where("p is not null").join(open_, "k", "left_semi").select("k", "p")
+    loose = loose.join(labels.withColumnsRenamed({"node": "k", "label": "a"}), "k").join(labels.withColumnsRenamed({"node": "p", "label": "b"}), "p")
+    loose = cut_lineage(loose.where("a <> b").select("a", "b").distinct())
+    named = labels.join(nodes.select(F.col("k").alias("node"), "parents"), "node")
+    if loose.isEmpty():
+        return named.select("node", F.col("label").alias("component"), "parents")
+    joined = connected_components(loose).withColumnsRenamed({"node": "label", "component": "joined"})
+    return named.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component"), "parents")

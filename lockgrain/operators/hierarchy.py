@@ -3,12 +3,10 @@
 Method: find connected components, bring each component into one place, walk it depth-first without recursion while
 colouring nodes white, grey and black, and put out paths, descendant counts and the back edges that close circles.
 
-A space (say, one file's links) of up to SPACE_LINKS links is brought into one place whole, and its components are told
-apart there; the components of larger spaces are found by distributed rounds first.
-
-A component larger than ``local_nodes`` distinct links (or, where some node has several parents, larger than
-``local_dag_nodes``) is never gathered: for those the same results come from shortest-distance reachability by path
-doubling, which is joins and map-side combined minima only.
+A component larger than ``local_nodes`` nodes and links (or, where some node has several parents, larger than
+``local_dag_nodes``) is never gathered. Where no node has several parents, pointers double (``tree_by_doubling``): work
+grows with the nodes times the logarithm of the depth. Else the same results come from shortest-distance reachability by
+path doubling (``reach_by_doubling``), which lists the pairs that reach each other.
 
 Defined results
 * Anything named as parent or child is a node; null keys are no nodes; repeated links count once.
@@ -31,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockgrain.operators.components import connected_components
-from lockgrain.session import cut_lineage
+from lockgrain.operators.components import linked_components
+from lockgrain.session import cut_lineage, replace_lineage
 
-SPACE_LINKS = 50_000  # distinct links of a space up to which it is gathered without looking for components first
+BATCH_STEPS = 200_000  # path steps of one Arrow batch
 NO_SPACE = "\u0000"  # stands for a null space inside, so that joins find it
 
 NODE_SCHEMA = "space string, key string, root_key string, depth int, n_descendants long, path array<string>, back_edges array<string>"
@@ -203,35 +201,10 @@ def _closing(circle: dict[str, str], down: dict[str, list[str]]) -> dict[str, li
     return closing
 
 
-def split_components(links: list[tuple[str, str | None]]) -> list[list[tuple[str, str | None]]]:
-    """The links of each connected component, by union and find."""
-    head: dict[str, str] = {}
-
-    def find(n: str) -> str:
-        top = n
-        while (up := head.setdefault(top, top)) != top:
-            top = up
-        while head[n] != top:
-            head[n], n = top, head[n]
-        return top
-
-    for child, parent in links:
-        a = find(child)
-        if parent is not None and (b := find(parent)) != a:
-            head[a] = b
-    parts: dict[str, list] = {}
-    for link in links:
-        parts.setdefault(find(link[0]), []).append(link)
-    return list(parts.values())
-
-
 def _walker(with_paths: bool):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put(space: str, links: list[tuple[str, str | None]]) -> list[tuple]:
-            return [(space, *row) for part in split_components(links) for row in walk_component(part, with_paths)]
-
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * 7
+            cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(cols[0], pa.string()),
@@ -245,60 +218,51 @@ def _walker(with_paths: bool):
                 names=["space", "key", "root_key", "depth", "n_descendants", "path", "back_edges"],
             )
 
-        at, held, out, weight = None, {}, [], 0
-        for batch in batches:
-            comp, space, key, parent = (batch.column(n).to_pylist() for n in ("comp", "space", "key", "parent"))
-            for c, s, k, p in zip(comp, space, key, parent):
-                if c != at:
-                    for name, links in held.items():  # two spaces share a component number only by a hash clash
-                        out += put(name, links)
-                    at, held = c, {}
-                    if len(out) > 4000:
+        out: list[tuple] = []
+        weight = 0
+        for held in _held(batches):
+            for space, links in held.items():  # two spaces share a component number only by a hash clash
+                for row in walk_component(links, with_paths):
+                    out.append((space, *row))
+                    weight += 8 + len(row[4] or ())
+                    if weight > BATCH_STEPS:
                         yield emit(out)
-                        out = []
-                held.setdefault(s, []).append((k, p))
-        for name, links in held.items():
-            out += put(name, links)
+                        out, weight = [], 0
         if out:
             yield emit(out)
 
     return walk
 
 
-def _sizes(links: DataFrame, by: str) -> DataFrame:
-    """(by, links, most): distinct links and the most parents of one node."""
-    node = dict.fromkeys((by, "space", "key"))
-    parents = links.where("parent is not null").groupBy(*node).agg(F.count("*").alias("n"))
-    return parents.groupBy(by).agg(F.sum("n").alias("links"), F.max("n").alias("most"))
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[tuple[str, str | None]]]]:
+    """The links of each component by space, from rows sorted by component."""
+    at, held = None, {}
+    for batch in batches:
+        for c, s, k, p in zip(*(batch.column(n).to_pylist() for n in ("comp", "space", "key", "parent"))):
+            if c != at:
+                if held:
+                    yield held
+                at, held = c, {}
+            held.setdefault(s, []).append((k, p))
+    if held:
+        yield held
 
 
 def _place(links: DataFrame, space: str, child: str, parent: str, local_nodes: int, local_dag_nodes: int) -> tuple[DataFrame, DataFrame | None]:
-    """(comp, space, key, parent) of what may be gathered, and of components that may not (None if there are none).
-
-    A space of up to SPACE_LINKS links is small enough to be gathered whole; its components are told apart where it is
-    walked. Only larger spaces take part in the distributed search for components.
-    """
+    """(comp, space, key, parent) of what may be gathered, and the same with ``most``, the most parents of a node, of
+    components that may not (None if there are none)."""
     raw = links.select(F.col(space).cast("string").alias("space"), F.col(child).cast("string").alias("key"), F.col(parent).cast("string").alias("parent"))
     raw = raw.withColumns({"key": F.coalesce("key", "parent"), "parent": F.when(F.col("key").isNotNull(), F.col("parent"))})
     known = cut_lineage(raw.where("key is not null").withColumn("space", F.coalesce("space", F.lit(NO_SPACE))).distinct())
-    few = min(SPACE_LINKS, local_nodes)
-    wide = _sizes(known, "space").where((F.col("links") > few) | ((F.col("most") > 1) & (F.col("links") > local_dag_nodes))).select("space")
-    wide = cut_lineage(wide)
-    whole = known.select(F.xxhash64("space").alias("comp"), "space", "key", "parent")
-    if wide.isEmpty():
-        return whole, None
-
     ident = lambda c: F.xxhash64("space", c)
-    spread = known.join(wide, "space", "left_semi").withColumns({"k": ident("key"), "p": F.when(F.col("parent").isNotNull(), ident("parent"))})
-    comps = cut_lineage(connected_components(spread, "k", "p"))
-    placed = spread.join(comps, spread.k == comps.node, "left").select(F.coalesce("component", "k").alias("comp"), "space", "key", "parent")
-    placed = cut_lineage(placed)
-    large = _sizes(placed, "comp").where((F.col("links") > local_nodes) | ((F.col("most") > 1) & (F.col("links") > local_dag_nodes))).select("comp")
-    large = cut_lineage(large)
-    whole = whole.join(wide, "space", "left_anti").select("comp", "space", "key", "parent")
+    spread = known.withColumns({"k": ident("key"), "p": F.when(F.col("parent").isNotNull(), ident("parent"))})
+    comps = cut_lineage(linked_components(spread.select("k", "p")))
+    placed = spread.join(comps.select(F.col("node").alias("k"), F.col("component").alias("comp")), "k").select("comp", "space", "key", "parent")
+    sizes = comps.groupBy(F.col("component").alias("comp")).agg((F.count("*") + F.sum("parents")).alias("size"), F.max("parents").alias("most"))
+    large = cut_lineage(sizes.where((F.col("size") > local_nodes) | ((F.col("most") > 1) & (F.col("size") > local_dag_nodes))).select("comp", "most"))
     if large.isEmpty():
-        return whole.unionByName(placed), None
-    return whole.unionByName(placed.join(large, "comp", "left_anti")), placed.join(large, "comp", "left_semi")
+        return placed, None
+    return placed.join(large, "comp", "left_anti"), placed.join(large, "comp")
 
 
 def hierarchies(
@@ -317,33 +281,43 @@ def hierarchies(
     """
     near, far = _place(links, space, child, parent, local_nodes, local_dag_nodes)
     local = near.repartition("comp").sortWithinPartitions("comp").mapInArrow(_walker(with_paths), NODE_SCHEMA)
-    out = local if far is None else local.unionByName(reach_by_doubling(far, with_paths))
+    out = local
+    if far is not None:
+        far = cut_lineage(far)
+        trees, others = far.where("most <= 1"), far.where("most > 1")
+        out = out if trees.isEmpty() else out.unionByName(tree_by_doubling(trees, with_paths))
+        out = out if others.isEmpty() else out.unionByName(reach_by_doubling(others, with_paths))
     return out.withColumn("space", F.nullif("space", F.lit(NO_SPACE)))
 
 
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(space, key) with a number for each, and the seed; should two nodes share a number, another seed is taken."""
+    seed = 0
+    while True:
+        names = nodes.withColumn("id", F.xxhash64(F.lit(seed), "space", "key"))
+        seen = names.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+        if seen["n"] == seen["ids"]:
+            return names, seed
+        seed += 1
+
+
 def reachable_pairs(links: DataFrame) -> DataFrame:
     """(space, a, d, far): every node a with every node d below it and the shortest distance; a = d on a circle.
 
     ``links`` has space, a (parent), d (child) without nulls or repeats. A round finds the pairs of distances above m up
     to 2m from those at exactly m and those up to m, so rounds grow with the logarithm of the depth, and in trees no pair
-    is found twice. Pairs are held as numbers; should two nodes share one, all are numbered again with another seed.
+    is found twice. Pairs are held as numbers.
     """
     links = cut_lineage(links.select("space", "a", "d"))
     nodes = cut_lineage(links.select("space", F.col("a").alias("key")).union(links.select("space", "d")).distinct())
-    seed = 0
-    while True:
-        names = nodes.withColumn("id", F.xxhash64(F.lit(seed), "space", "key"))
-        seen = names.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
-        if seen["n"] == seen["ids"]:
-            break
-        seed += 1
+    names, seed = _numbered(nodes)
     exact = links.select(*(F.xxhash64(F.lit(seed), "space", c).alias(c) for c in ("a", "d")))
     reach, m = cut_lineage(exact.withColumn("far", F.lit(1))), 1
     exact = reach.select("a", "d")
     while True:
         step = exact.select("a", F.col("d").alias("mid")).join(reach.select(F.col("a").alias("mid"), "d", "far"), "mid")
         fresh = step.groupBy("a", "d").agg((F.min("far") + F.lit(m)).alias("far")).join(reach.select("a", "d"), ["a", "d"], "left_anti")
-        fresh = cut_lineage(fresh)
+        fresh = replace_lineage(fresh, None)
         if fresh.isEmpty():
             break
         reach, m = reach.union(fresh), 2 * m
@@ -353,6 +327,63 @@ def reachable_pairs(links: DataFrame) -> DataFrame:
     return reach.join(above, "a").join(below, "d").select("space", F.col("a_key").alias("a"), F.col("d_key").alias("d"), "far")
 
 
+def _paths(chains: DataFrame) -> DataFrame:
+    """(space, key, path) from (space, key, via), via null at a root: each path takes on the path of its head."""
+    chain = cut_lineage(chains.select("space", "key", F.array("key").alias("path"), "via"))
+    while not chain.where("via is not null").isEmpty():
+        head = chain.select("space", F.col("key").alias("via"), F.col("path").alias("front"), F.col("via").alias("next"))
+        longer = chain.join(head, ["space", "via"], "left").select("space", "key", F.when(F.col("front").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path"), F.col("next").alias("via"))
+        chain = replace_lineage(longer, chain)
+    return chain.select("space", "key", "path")
+
+
+def tree_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
+    """The same rows as the walk gives, for components too large to gather in which no node has two parents.
+
+    After k rounds a node knows its ancestor 2**k links up and how many nodes lie less than 2**k links below it, which it
+    adds to that ancestor. Nodes that never reach a root lie on a circle or below one: the ancestors they end at are
+    the circle, and what lies on the way there holds its smallest key.
+    """
+    links = placed.where("parent is not null").select("space", "key", "parent").distinct()
+    nodes = cut_lineage(placed.select("space", "key").union(placed.where("parent is not null").select("space", "parent")).distinct())
+    names, seed = _numbered(nodes)
+    up = links.select(F.xxhash64(F.lit(seed), "space", "key").alias("id"), F.xxhash64(F.lit(seed), "space", "parent").alias("up"))
+    first = names.join(up, "id", "left")
+    # top and depth: the ancestor reached and the links to it; at: the ancestor exactly 2**k links up, null beyond a root
+    state = cut_lineage(first.select("id", F.col("up").alias("at"), F.coalesce("up", "id").alias("top"), F.col("up").isNotNull().cast("int").alias("depth"), F.lit(1).cast("long").alias("below"), F.col("key").alias("low")))
+    reach, left = 1, None
+    while True:
+        still = state.where("at is not null").count()
+        if still == 0 or (still == left and reach >= still):
+            break
+        left, reach = still, 2 * reach
+        added = state.where("at is not null").groupBy(F.col("at").alias("id")).agg(F.sum("below").alias("more"))
+        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("top").alias("next_top"), F.col("depth").alias("further"), F.col("low").alias("other"))
+        step = state.join(ahead, "at", "left").join(added, "id", "left")
+        step = step.select(
+            "id", F.col("next").alias("at"), F.coalesce("next_top", "top").alias("top"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below"), F.least("low", F.coalesce("other", "low")).alias("low")
+        )
+        state = replace_lineage(step, state)
+    lost = state.where("at is not null")
+    circle = lost.select("at").distinct().join(state.select(F.col("id").alias("at"), F.col("low").alias("ring")), "at")
+    ringed = lost.select("id", "at").join(circle, "at").join(names.select("id", "space"), "id").select("id", "space", "ring")
+    whole = ringed.groupBy("space", "ring").agg(F.count("*").alias("whole"))
+    ringed = ringed.join(whole, ["space", "ring"]).join(circle.select(F.col("at").alias("id"), F.lit(True).alias("on")), "id", "left").select("id", "ring", "whole", "on")
+    tops = names.select(F.col("id").alias("top"), F.col("key").alias("top_key"))
+    out = names.join(state, "id").join(ringed, "id", "left").join(tops, "top").join(links, ["space", "key"], "left")
+    on = F.coalesce("on", F.lit(False))
+    out = out.select(
+        "space", "key", F.coalesce("ring", "top_key").alias("root_key"), F.when(on, -1).when(F.col("ring").isNotNull(), -2).otherwise(F.col("depth")).cast("int").alias("depth"),
+        F.when(on, F.col("whole") - 1).otherwise(F.col("below") - 1).alias("n_descendants"), "parent", F.when(on & (F.col("key") == F.col("ring")), F.array("parent")).alias("back_edges"),
+    )
+    if with_paths:
+        out = cut_lineage(out)
+        out = out.join(_paths(out.where("depth >= 0").select("space", "key", F.col("parent").alias("via"))), ["space", "key"], "left")
+    else:
+        out = out.withColumn("path", F.lit(None).cast("array<string>"))
+    return out.select("space", "key", "root_key", "depth", "n_descendants", "path", "back_edges")
+
+
 def reach_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
     """The same rows as the walk gives, for components too large to gather, from all reachable pairs."""
     links = placed.where("parent is not null").select("space", F.col("parent").alias("a"), F.col("key").alias("d")).distinct()
@@ -405,16 +436,7 @@ def reach_by_doubling(placed: DataFrame, with_paths: bool = True) -> DataFrame:
             .where("da = depth - 1 and ra = root_key")
             .groupBy("space", "key").agg(F.min("a").alias("via"))
         )
-        chain = good.join(step, ["space", "key"], "left").select("space", "key", F.array("key").alias("path"), F.col("via"))
-        chain = cut_lineage(chain)
-        while not chain.where("via is not null").isEmpty():  # pointers double: each path takes on the path of its head
-            head = chain.select("space", F.col("key").alias("via"), F.col("path").alias("front"), F.col("via").alias("next"))
-            chain = cut_lineage(
-                chain.join(head, ["space", "via"], "left").select(
-                    "space", "key", F.when(F.col("front").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path"), F.col("next").alias("via")
-                )
-            )
-        out = out.join(chain.select("space", "key", "path"), ["space", "key"], "left")
+        out = out.join(_paths(good.join(step, ["space", "key"], "left").select("space", "key", "via")), ["space", "key"], "left")
     else:
         out = out.withColumn("path", F.lit(None).cast("array<string>"))
     return out.join(closing, ["space", "key"], "left").select("space", "key", "root_key", "depth", "n_descendants", "path", "back_edges")
@@ -446,26 +468,16 @@ def _lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    at, held = None, {}
-
-    def put() -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for name, links in held.items():
+    out: list[tuple] = []
+    for held in _held(batches):
+        for space, links in held.items():
             for row in list_below(links):
-                out.append((name, *row))
+                out.append((space, *row))
                 if len(out) == 10_000:
                     yield emit(out)
                     out = []
-        if out:
-            yield emit(out)
-
-    for batch in batches:
-        for c, s, k, p in zip(*(batch.column(n).to_pylist() for n in ("comp", "space", "key", "parent"))):
-            if c != at:
-                yield from put()
-                at, held = c, {}
-            held.setdefault(s, []).append((k, p))
-    yield from put()
+    if out:
+        yield emit(out)
 
 
 def descendants(links: DataFrame, space: str = "space", child: str = "child", parent: str = "parent", local_nodes: int = 200_000, local_dag_nodes: int = 20_000) -> DataFrame:

@@ -44,6 +44,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def replace_lineage(df: DataFrame, old: DataFrame | None) -> DataFrame:
+    """cut_lineage(df), then the files of ``old``, a checkpoint that only df was made from, are deleted: rounds of an
+    iteration hold one state on disk, not all.
+
+    The result has no size estimate. A checkpoint takes over the estimate of its plan, and where each round joins the
+    state with itself that number has twice the digits every time, until computing it takes longer than the data.
+    """
+    spark = df.sparkSession
+    new = cut_lineage(df)
+    plan = old._jdf.queryExecution().analyzed() if old is not None else None
+    if plan is not None and plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    rows = new._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, new._jdf.schema(), False), spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockgrain.schema import ARTIFACT
-from lockgrain.session import bound_batches, cut_lineage
+from lockgrain.session import bound_batches, cut_lineage, replace_lineage
 from lockgrain.sources.formats import maven
 from lockgrain.sources.lockfiles import _ARROW, PARSED, base_name
 
@@ -66,7 +66,7 @@ def pom_chains(poms: DataFrame, repository: DataFrame | None = None) -> DataFram
         both = F.concat("ids", F.coalesce("more", F.array().cast("array<string>")))
         ids = F.array_distinct(both)
         after = F.when(F.size(ids) == F.size(both), F.col("after"))
-        chains = cut_lineage(chains.join(onward, "next", "left").select("path", ids.alias("ids"), after.alias("next")))
+        chains = replace_lineage(chains.join(onward, "next", "left").select("path", ids.alias("ids"), after.alias("next")), chains)
 
     places = chains.join(links.where("own").select("path"), "path", "left_semi").select("path", F.posexplode("ids").alias("at", "id"))
     contents = places.join(known.select(F.col("path").alias("id"), "pom"), "id").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "pom"))).alias("found"))

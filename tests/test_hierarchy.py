@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lockgrain.operators.components import connected_components
+from lockgrain.operators.components import connected_components, linked_components
 from lockgrain.operators.hierarchy import descendants, hierarchies, walk_component
 
 SCHEMA = "space string, child string, parent string"
@@ -144,9 +144,7 @@ def test_deep_chain_and_back_edges(spark):
         assert out["a"].back_edges == ["c"] and out["d"].depth == -2 and out["c"].n_descendants == 3
 
 
-def test_small_and_large_spaces_together(spark, monkeypatch):
-    from lockgrain.operators import hierarchy
-
+def test_small_and_large_components_together(spark):
     rng = random.Random(5)
     rows, want = [], {}
     for s in range(6):
@@ -154,12 +152,40 @@ def test_small_and_large_spaces_together(spark, monkeypatch):
         rows += [(f"s{s}", c, p) for c, p in links]
         want |= {(f"s{s}", k): v for k, v in brute(links).items()}
     df = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(hierarchy, "SPACE_LINKS", 10)
     for bound in (200_000, 12):
         got = {(r.space, r.key): (r.root_key, r.depth, r.n_descendants) for r in hierarchies(df, local_nodes=bound).collect()}
         assert got == want
 
 
+def test_long_chain_and_many_roots_are_never_gathered(spark):
+    """A chain, a circle with chains below it and many roots, all by doubling: no component is brought into one place."""
+    n = 3000
+    links = [(f"c{i}", f"c{i - 1}") for i in range(1, n)] + [(f"r{i}", f"r{(i + 1) % 37}") for i in range(37)] + [("t0", "r5")] + [(f"t{i}", f"t{i - 1}") for i in range(1, 100)] + [(f"root{i}", None) for i in range(n)]
+    out = {r.key: r for r in hierarchies(spark.createDataFrame([("s", *x) for x in links], SCHEMA), with_paths=False, local_nodes=0).collect()}
+    assert len(out) == 2 * n + 137
+    assert all((out[f"c{i}"].root_key, out[f"c{i}"].depth, out[f"c{i}"].n_descendants) == ("c0", i, n - 1 - i) for i in range(n))
+    assert all((out[f"r{i}"].root_key, out[f"r{i}"].depth, out[f"r{i}"].n_descendants) == ("r0", -1, 136) for i in range(37))
+    assert all((out[f"t{i}"].root_key, out[f"t{i}"].depth, out[f"t{i}"].n_descendants) == ("r0", -2, 99 - i) for i in range(100))
+    assert out["r0"].back_edges == ["r1"] and sum(bool(r.back_edges) for r in out.values()) == 1 and out["root7"].depth == 0
+
+
+def test_components_of_links(spark):
+    rng = random.Random(2)
+    for single in (True, False):
+        pairs = set()
+        for i in range(80):
+            for _ in range(1 if single else rng.randint(1, 2)):
+                pairs.add((i, rng.choice([None, rng.randrange(80), max(0, i - 1), i])))
+        want = {}
+        for part in _components(pairs):
+            want |= dict.fromkeys(part, frozenset(part))
+        groups = {}
+        rows = linked_components(spark.createDataFrame(sorted(pairs, key=str), "k long, p long")).collect()
+        for r in rows:
+            groups.setdefault(r.component, set()).add(r.node)
+        assert len(rows) == len(want) and {frozenset(g) for g in groups.values()} == set(want.values())
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(None, 3), (5, None), (9, 9)]
