@@ -18,7 +18,8 @@ def key_states(df: DataFrame, on: Sequence[str], sums: dict[str, Column] | None
     """One row per key: n (rows), the named sums, and the number of distinct non-null values of the named columns.
 
     Distinct values are counted in two steps: first per (key, value), which spreads a hot key over all tasks by its
-    values, then per key. Keys with a null part are left out, as an inner join would.
+    values, then per key; rows and sums come along, so the input is read once. Keys with a null part are left out, as an
+    inner join would.
     """
     sums, distinct = sums or {}, distinct or {}
     kept = df.dropna(subset=list(on))

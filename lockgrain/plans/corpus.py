@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockgrain.operators.drift import migrate, migration_report, schema_changes
-from lockgrain.operators.eager import eager_join_aggregate, join_states
+from lockgrain.operators.eager import eager_join_aggregate, key_states
 from lockgrain.operators.flatten import flatten_locks, flatten_package_vulns
 from lockgrain.operators.hierarchy import descendants, hierarchies
 from lockgrain.session import table
@@ -57,8 +57,17 @@ def _items(rows: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(table(spark, d, "package_rows"))
-    return join_states(items, items, ["field", "item"], "source_path").select("field", "item", "n_rows", F.col("n_members").alias("n_sources"))
+    """The operator's first half, since there is one input: states per (key, source), rolled up to the key."""
+    states = key_states(_items(table(spark, d, "package_rows")), ["field", "item"], distinct={"n_sources": "source_path"})
+    return states.select("field", "item", F.col("n").alias("n_rows"), "n_sources")
+
+
+def p3_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """package_rows joined with the records of package_vulns of the same file: per file the joined rows and sums over them."""
+    rows = table(spark, d, "package_rows").select("source_path", F.col("is_direct").cast("long").alias("direct"))
+    vulns = table(spark, d, "package_vulns").select("source_path", F.greatest(F.coalesce(F.size("vulnerabilities"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    joined = eager_join_aggregate(rows, vulns, ["source_path"], {"direct_pairs": F.col("direct")}, {"vulnerabilities": F.col("n")})
+    return joined.select("source_path", "n_left", "n_right", "n_pairs", "direct_pairs", "vulnerabilities")
 
 
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +95,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten_locks(locks).unionByName(flatten_package_vulns(vulns))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_documents, p4_found, p4_table, p4_steps, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_documents, p3_exposure, p4_found, p4_table, p4_steps, p6_found)}
 
 _LINKS = """
 links AS (
@@ -121,6 +130,8 @@ LEFT JOIN downs w ON n.tbl = w.tbl AND n.source_path = w.source_path AND n.k = w
     "p3_found": """SELECT field, item, count(*) AS n_rows, count(DISTINCT source_path) AS n_sources FROM (
   SELECT 'name' AS field, name AS item, source_path FROM package_rows UNION ALL SELECT 'purl', purl, source_path FROM package_rows)
 WHERE item IS NOT NULL AND item <> '' GROUP BY field, item""",
+    "p3_exposure": """SELECT r.source_path, count(DISTINCT r.row_id) AS n_left, count(DISTINCT v.pv_id) AS n_right, count(*) AS n_pairs, CAST(sum(CAST(is_direct AS BIGINT)) AS BIGINT) AS direct_pairs,
+  CAST(sum(coalesce(len(vulnerabilities), 0)) AS BIGINT) AS vulnerabilities FROM package_rows r JOIN package_vulns v ON r.source_path = v.source_path GROUP BY r.source_path""",
     "p3_documents": """SELECT r.name AS name, count(*) AS n_pairs, CAST(sum(CAST(is_direct AS BIGINT)) AS BIGINT) AS direct_pairs, CAST(sum(n_chars) AS BIGINT) AS chars
 FROM package_rows r JOIN documents d ON r.name = d.package_name WHERE r.name <> '' GROUP BY r.name""",
 }
