@@ -64,7 +64,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_exposure(spark: SparkSession, d: str) -> DataFrame:
     """package_rows joined with the records of package_vulns of the same file: per file the joined rows and sums over them."""
-    rows = table(spark, d, "package_rows").select("source_path", F.col("is_direct").cast("long").alias("direct"))
+    rows = table(spark, d, "package_rows").select("source_path", F.coalesce("is_direct", F.lit(False)).cast("long").alias("direct"))
     vulns = table(spark, d, "package_vulns").select("source_path", F.greatest(F.coalesce(F.size("vulnerabilities"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
     joined = eager_join_aggregate(rows, vulns, ["source_path"], {"direct_pairs": F.col("direct")}, {"vulnerabilities": F.col("n")})
     return joined.select("source_path", "n_left", "n_right", "n_pairs", "direct_pairs", "vulnerabilities")
@@ -130,7 +130,7 @@ LEFT JOIN downs w ON n.tbl = w.tbl AND n.source_path = w.source_path AND n.k = w
     "p3_found": """SELECT field, item, count(*) AS n_rows, count(DISTINCT source_path) AS n_sources FROM (
   SELECT 'name' AS field, name AS item, source_path FROM package_rows UNION ALL SELECT 'purl', purl, source_path FROM package_rows)
 WHERE item IS NOT NULL AND item <> '' GROUP BY field, item""",
-    "p3_exposure": """SELECT r.source_path, count(DISTINCT r.row_id) AS n_left, count(DISTINCT v.pv_id) AS n_right, count(*) AS n_pairs, CAST(sum(CAST(is_direct AS BIGINT)) AS BIGINT) AS direct_pairs,
+    "p3_exposure": """SELECT r.source_path, count(DISTINCT r.row_id) AS n_left, count(DISTINCT v.pv_id) AS n_right, count(*) AS n_pairs, CAST(sum(CAST(coalesce(is_direct, false) AS BIGINT)) AS BIGINT) AS direct_pairs,
   CAST(sum(coalesce(len(vulnerabilities), 0)) AS BIGINT) AS vulnerabilities FROM package_rows r JOIN package_vulns v ON r.source_path = v.source_path GROUP BY r.source_path""",
     "p3_documents": """SELECT r.name AS name, count(*) AS n_pairs, CAST(sum(CAST(is_direct AS BIGINT)) AS BIGINT) AS direct_pairs, CAST(sum(n_chars) AS BIGINT) AS chars
 FROM package_rows r JOIN documents d ON r.name = d.package_name WHERE r.name <> '' GROUP BY r.name""",
