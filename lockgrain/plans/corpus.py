@@ -111,7 +111,57 @@ edges AS (SELECT DISTINCT tbl, source_path, parent AS a, child AS d FROM links W
 reach AS (SELECT tbl, source_path, a, d FROM edges UNION SELECT r.tbl, r.source_path, r.a, e.d FROM reach r JOIN edges e ON r.tbl = e.tbl AND r.source_path = e.source_path AND r.d = e.a)
 """
 
+#: Readable contents: a JSON object behind a byte order mark.
+_READABLE = """SELECT *, CAST(j AS JSON) AS doc FROM (SELECT *, ltrim(content, chr(65279)) AS j FROM lockfiles WHERE content IS NOT NULL) WHERE json_valid(j) AND json_type(TRY_CAST(j AS JSON)) = 'OBJECT'"""
+#: Top-level fields with their kinds, and their values as sorted leaves, so that layout and order of keys don't matter.
+_FIELDS = f"""
+once AS (SELECT source_path, rev, arg_min(doc, lock_id) AS doc FROM ({_READABLE}) WHERE source_path IS NOT NULL AND rev IS NOT NULL GROUP BY source_path, rev),
+each_field AS (SELECT source_path, rev, e.key AS name, e.type AS type, e.value AS value FROM once, json_each(doc) e WHERE e.type <> 'NULL'),
+leaves AS (SELECT source_path, rev, f.name, list_sort(list(t.fullkey || '=' || CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'n' || CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) WHEN t.type IN ('OBJECT', 'ARRAY') THEN t.type ELSE t.type || ':' || coalesce(CAST(t.atom AS VARCHAR), '') END)) AS value FROM each_field f, json_tree(f.value) t GROUP BY ALL),
+inner_kinds AS (SELECT source_path, rev, f.name, string_agg(DISTINCT CASE WHEN x.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE x.type END, '|' ORDER BY CASE WHEN x.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE x.type END) AS of FROM each_field f, json_each(f.value) x WHERE f.type = 'ARRAY' GROUP BY ALL),
+fields AS (SELECT f.source_path, f.rev, f.name, CASE WHEN f.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN f.type = 'ARRAY' THEN 'array of ' || coalesce(k.of, '') ELSE f.type END AS kind, l.value
+  FROM each_field f JOIN leaves l USING (source_path, rev, name) LEFT JOIN inner_kinds k USING (source_path, rev, name)),
+pairs AS (SELECT source_path, rev, lag(rev) OVER (PARTITION BY source_path ORDER BY rev) AS before FROM once),
+old AS (SELECT p.source_path, p.rev, f.name, f.kind, f.value FROM pairs p JOIN fields f ON p.source_path = f.source_path AND p.before = f.rev),
+new AS (SELECT p.source_path, p.rev, f.name, f.kind, f.value FROM pairs p JOIN fields f ON p.source_path = f.source_path AND p.rev = f.rev WHERE p.before IS NOT NULL),
+gone AS (SELECT *, row_number() OVER (PARTITION BY source_path, rev, value ORDER BY name) AS nth FROM old ANTI JOIN new USING (source_path, rev, name)),
+come AS (SELECT *, row_number() OVER (PARTITION BY source_path, rev, value ORDER BY name) AS nth FROM new ANTI JOIN old USING (source_path, rev, name))
+"""
+
 SQL = {
+    "p4_found": f"""WITH {_FIELDS}
+SELECT source_path, rev, CASE WHEN g.name IS NULL THEN 'added' WHEN c.name IS NULL THEN 'removed' ELSE 'renamed' END AS drift, coalesce(g.name, '') AS old_field, coalesce(c.name, '') AS new_field FROM gone g FULL JOIN come c USING (source_path, rev, value, nth)
+UNION ALL SELECT source_path, rev, 'retyped', o.name, o.name FROM old o JOIN new n USING (source_path, rev, name) WHERE o.kind <> n.kind""",
+    "p6_found": f"""WITH RECURSIVE docs AS (SELECT lock_id, doc FROM ({_READABLE}) WHERE parsed_as = 'package-lock'),
+entries AS (SELECT lock_id, '' AS parent, e.key AS item, e.key AS here, e.value AS value FROM docs, json_each(doc -> 'dependencies') e WHERE json_type(doc -> 'dependencies') = 'OBJECT'
+  UNION ALL SELECT lock_id, p.here, e.key, p.here || ' > ' || e.key, e.value FROM entries p, json_each(p.value -> 'dependencies') e WHERE json_type(p.value) = 'OBJECT' AND json_type(p.value -> 'dependencies') = 'OBJECT'),
+vulns AS (SELECT pv_id, v.id AS id, v.affected AS affected FROM (SELECT pv_id, unnest(vulnerabilities) AS v FROM package_vulns) WHERE v IS NOT NULL),
+affected AS (SELECT pv_id, id, i - 1 AS i, a FROM (SELECT pv_id, id, unnest(affected) AS a, unnest(range(1, len(affected) + 1)) AS i FROM vulns) WHERE a IS NOT NULL),
+ranges AS (SELECT pv_id, id, i, j - 1 AS j, r FROM (SELECT pv_id, id, i, unnest(a.ranges) AS r, unnest(range(1, len(a.ranges) + 1)) AS j FROM affected) WHERE r IS NOT NULL)
+SELECT 'dependency' AS kind, lock_id AS record_id, parent AS parent_path, item FROM entries
+UNION ALL SELECT 'require', lock_id, here, e.key FROM entries p, json_each(p.value -> 'requires') e WHERE json_type(p.value) = 'OBJECT' AND json_type(p.value -> 'requires') = 'OBJECT'
+UNION ALL SELECT 'location', pv_id, '', CAST(i - 1 AS VARCHAR) FROM (SELECT pv_id, unnest(locations) AS l, unnest(range(1, len(locations) + 1)) AS i FROM package_vulns) WHERE l IS NOT NULL
+UNION ALL SELECT 'vulnerability', pv_id, '', id FROM vulns
+UNION ALL SELECT 'affected', pv_id, id, CAST(i AS VARCHAR) FROM affected
+UNION ALL SELECT 'event', pv_id, id || '/' || i || '/' || j, CAST(k - 1 AS VARCHAR) FROM (SELECT pv_id, id, i, j, unnest(r.events) AS e, unnest(range(1, len(r.events) + 1)) AS k FROM ranges) WHERE e IS NOT NULL""",
+    "p2_paths": f"""WITH RECURSIVE {_LINKS},
+ring AS (SELECT x.tbl, x.source_path, x.a AS k, min(x.d) AS least FROM reach x JOIN reach y ON x.tbl = y.tbl AND x.source_path = y.source_path AND x.a = y.d AND x.d = y.a GROUP BY ALL),
+under AS (SELECT DISTINCT r.tbl, r.source_path, r.d AS k FROM reach r JOIN ring g ON r.tbl = g.tbl AND r.source_path = g.source_path AND r.a = g.k),
+roots AS (SELECT n.* FROM nodes n ANTI JOIN edges e ON e.tbl = n.tbl AND e.source_path = n.source_path AND e.d = n.k),
+tree AS (SELECT tbl, source_path, k, k AS root, 0 AS depth, k AS path FROM roots
+  UNION ALL SELECT * FROM (SELECT t.tbl, t.source_path, e.d, t.root, t.depth + 1, t.path || ' > ' || e.d FROM tree t JOIN edges e ON t.tbl = e.tbl AND t.source_path = e.source_path AND t.k = e.a
+    WHERE NOT EXISTS (SELECT 1 FROM under u WHERE u.tbl = e.tbl AND u.source_path = e.source_path AND u.k = e.d) AND NOT EXISTS (SELECT 1 FROM ring g WHERE g.tbl = e.tbl AND g.source_path = e.source_path AND g.k = e.d))),
+best AS (SELECT tbl, source_path, k, min({{'depth': depth, 'root': root, 'path': path}}).path AS path FROM tree GROUP BY ALL),
+walk AS (SELECT DISTINCT tbl, source_path, least, least AS k, 0 AS far FROM ring
+  UNION SELECT w.tbl, w.source_path, w.least, e.d, w.far + 1 FROM walk w JOIN edges e ON w.tbl = e.tbl AND w.source_path = e.source_path AND w.k = e.a JOIN ring g ON g.tbl = e.tbl AND g.source_path = e.source_path AND g.k = e.d AND g.least = w.least
+    WHERE w.far < (SELECT max(c) FROM (SELECT count(*) AS c FROM ring GROUP BY tbl, source_path, least))),
+spot AS (SELECT tbl, source_path, least, k, min(far) AS far FROM walk GROUP BY ALL),
+back AS (SELECT e.tbl, e.source_path, e.d AS k, string_agg(e.a, ' ' ORDER BY e.a) AS closed_by FROM edges e JOIN spot x ON x.tbl = e.tbl AND x.source_path = e.source_path AND x.k = e.a JOIN spot y ON y.tbl = e.tbl AND y.source_path = e.source_path AND y.k = e.d AND y.least = x.least
+  WHERE y.far < x.far OR (y.far = x.far AND y.k <= x.k) GROUP BY ALL)
+SELECT n.tbl, n.source_path, n.k AS node_key, b.path, c.closed_by FROM nodes n LEFT JOIN best b ON n.tbl = b.tbl AND n.source_path = b.source_path AND n.k = b.k LEFT JOIN back c ON n.tbl = c.tbl AND n.source_path = c.source_path AND n.k = c.k""",
+    "p2_descendants": f"""WITH RECURSIVE {_LINKS},
+far AS (SELECT tbl, source_path, a, d, 1 AS n FROM edges UNION SELECT f.tbl, f.source_path, f.a, e.d, f.n + 1 FROM far f JOIN edges e ON f.tbl = e.tbl AND f.source_path = e.source_path AND f.d = e.a WHERE f.n < 200)
+SELECT r.tbl, r.source_path, r.a AS node_key, r.d AS descendant, CAST(min(f.n) AS INTEGER) AS distance FROM reach r JOIN far f ON r.tbl = f.tbl AND r.source_path = f.source_path AND r.a = f.a AND r.d = f.d WHERE r.a <> r.d GROUP BY ALL""",
     "p2_found": f"""WITH RECURSIVE {_LINKS},
 ring AS (SELECT x.tbl, x.source_path, x.a AS k, min(x.d) AS least FROM reach x JOIN reach y ON x.tbl = y.tbl AND x.source_path = y.source_path AND x.a = y.d AND x.d = y.a GROUP BY ALL),
 under AS (SELECT r.tbl, r.source_path, r.d AS k, min(g.least) AS least FROM reach r JOIN ring g ON r.tbl = g.tbl AND r.source_path = g.source_path AND r.a = g.k GROUP BY ALL),
