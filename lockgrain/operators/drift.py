@@ -1,8 +1,10 @@
 """Schemas that drift between files: fingerprints per revision, a report of each change, one consistent table.
 
 Every readable content gets a schema fingerprint: its top-level fields with their JSON kinds. Revisions of a file are
-compared with the readable revision before them (``schema_changes``). ``migrate`` routes each content through chained
-explicit steps (rename, cast, default) to the newest schema of its format and records every step it took. A value that
+compared with the readable revision before them (``schema_changes``). ``migrate`` routes each content by its fingerprint:
+the chain of explicit steps (rename, cast, default) from that schema to the newest one of its format is made once for
+each fingerprint (``route``), and every step a content took is recorded. ``schema_registry`` lists the fingerprints with
+their chains. A value that
 can't be told from what it was cast to stays beside it as ``field#kind`` (step ``kept``), as does one that can't be cast.
 
 Defined results: null, broken or non-object contents are unreadable and take no part; a byte order mark is dropped; a
@@ -16,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lockgrain.functions.jsontext import canonical, kind_of, read_object
-from lockgrain.session import bound_batches
+from lockgrain.session import bound_batches, cut_lineage
 
 FIELDS = "array<struct<name:string,kind:string,value:string>>"
 BLOCK = 12  # revisions per window: 2**BLOCK
@@ -63,7 +66,7 @@ def with_previous(revisions: DataFrame) -> DataFrame:
     Two steps, so that a file with a third of all revisions is no single task: within blocks of 2**BLOCK revision
     numbers, then the last of each block handed to the next block that has rows.
     """
-    rows = revisions.where("source_path is not null and rev is not null").withColumn("block", F.shiftright("rev", BLOCK))
+    rows = cut_lineage(revisions.where("source_path is not null and rev is not null").withColumn("block", F.shiftright("rev", BLOCK)))  # contents are parsed once
     inner = Window.partitionBy("source_path", "block").orderBy("rev")
     within = rows.withColumns({"before": F.lag("fields").over(inner), "first": F.row_number().over(inner) == 1})
     last = rows.groupBy("source_path", "block").agg(F.max_by("fields", "rev").alias("fields"))
@@ -188,18 +191,57 @@ def _aside(fields: dict, field: str, kind: str, value) -> str:
     return name
 
 
+Shape = tuple[tuple[str, str], ...]
+
+
+def shape_of(fields: dict) -> Shape:
+    """The schema of a content: its fields with their kinds, by name."""
+    return tuple((k, kind_of(v)) for k, v in sorted(fields.items()))
+
+
+def schema_id(shape: Shape) -> str:
+    return xxhash.xxh3_64_hexdigest("|".join(f"{k}:{kind}" for k, kind in shape).encode("utf-8", "surrogatepass"))
+
+
+@lru_cache(maxsize=1 << 14)
+def route(parsed_as: str, shape: Shape) -> tuple[Step, ...]:
+    """The chain of steps from a schema to the newest one of its format; it depends on the fingerprint alone.
+
+    A default stays in the chain behind a cast of its field, for values that can't be cast.
+    """
+    now = dict(shape)
+    chain, cast = [], set()
+    for s in STEPS.get(parsed_as, ()):
+        if s.action == "rename" and s.field in now and s.to not in now:
+            now[s.to] = now.pop(s.field)
+            chain.append(s)
+        elif s.action == "cast" and s.field in now and now[s.field] != s.to:
+            now[s.field] = s.to
+            cast.add(s.field)
+            chain.append(s)
+        elif s.action == "default" and (s.field not in now or s.field in cast):
+            chain.append(s)
+    return tuple(chain)
+
+
 def migrate_content(text: str | None, parsed_as: str | None) -> tuple[dict, list[tuple[int, str, str, str]]] | None:
     """(fields after all steps, recorded steps); None if the text is unreadable."""
     found = read_object(text)
     if found is None:
         return None
     fields = {k: v for k, v in found.items() if v is not None}
+    return migrate_fields(fields, route(parsed_as or "", shape_of(fields)))
+
+
+def migrate_fields(fields: dict, chain: tuple[Step, ...]) -> tuple[dict, list[tuple[int, str, str, str]]]:
+    """The fields after the steps of their schema's chain, and the steps recorded."""
+    fields = dict(fields)
     log: list[tuple[int, str, str, str]] = []
-    for s in STEPS.get(parsed_as or "", ()):
-        if s.action == "rename" and s.field in fields and s.to not in fields:
+    for s in chain:
+        if s.action == "rename":
             fields[s.to] = fields.pop(s.field)
             log.append((s.version, "renamed", s.field, s.to))
-        elif s.action == "cast" and s.field in fields and kind_of(fields[s.field]) != s.to:
+        elif s.action == "cast":
             value = fields[s.field]
             was = kind_of(value)
             try:
@@ -210,7 +252,7 @@ def migrate_content(text: str | None, parsed_as: str | None) -> tuple[dict, list
             except (ValueError, OverflowError):
                 log.append((s.version, "uncast", s.field, f"{was} to {s.to}"))
                 _aside(fields, s.field, was, fields.pop(s.field))
-        elif s.action == "default" and s.field not in fields:
+        elif s.field not in fields:
             fields[s.field] = json.loads(s.to)
             log.append((s.version, "default", s.field, s.to))
     return fields, log
@@ -236,17 +278,18 @@ def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             try:
-                done = migrate_content(r["content"], r["parsed_as"])
-                if done is None:
+                found = read_object(r["content"])
+                if found is None:
                     continue
-                fields, log = done
-                shape = "|".join(f"{k}:{kind_of(v)}" for k, v in sorted((read_object(r["content"]) or {}).items()) if v is not None)
+                found = {k: v for k, v in found.items() if v is not None}
+                shape = shape_of(found)
+                fields, log = migrate_fields(found, route(r["parsed_as"] or "", shape))
                 text = {k: v if isinstance(v, str) else canonical(v) for k, v in fields.items()}
                 number = fields.get("lockfileVersion")
                 rows.append(
                     {
                         **{k: r[k] for k in ("lock_id", "source_path", "parsed_as", "rev")},
-                        "schema_id": xxhash.xxh3_64_hexdigest(shape.encode("utf-8", "surrogatepass")),
+                        "schema_id": schema_id(shape),
                         "lockfile_version": float(number) if isinstance(number, (int, float)) and not isinstance(number, bool) else None,
                         **{c: text.get(c) for c in COLUMNS if c != "lockfileVersion"},
                         "extra": [(k, v) for k, v in text.items() if k not in COLUMNS],
@@ -268,3 +311,15 @@ def migrate(lockfiles: DataFrame) -> DataFrame:
 def migration_report(lockfiles: DataFrame) -> DataFrame:
     """(lock_id, source_path, rev, version, action, field, detail): every step taken for every content."""
     return migrate(lockfiles).select("lock_id", "source_path", "rev", F.explode("steps").alias("s")).select("lock_id", "source_path", "rev", "s.*")
+
+
+def schema_registry(lockfiles: DataFrame) -> DataFrame:
+    """(parsed_as, schema_id, n_contents, first_rev, last_rev, steps): every schema met, and the steps its contents took.
+
+    ``steps`` are those of the content with the smallest id, as 'version action field' texts; steps that depend on a
+    value (``kept``, ``uncast``) may differ between contents and are in ``migration_report``.
+    """
+    rows = migrate(lockfiles).select("parsed_as", "schema_id", "rev", "lock_id", F.transform("steps", lambda s: F.concat_ws(" ", s["version"].cast("string"), s["action"], s["field"])).alias("steps"))
+    return rows.groupBy("parsed_as", "schema_id").agg(
+        F.count("*").alias("n_contents"), F.min("rev").alias("first_rev"), F.max("rev").alias("last_rev"), F.min_by("steps", "lock_id").alias("steps")
+    )

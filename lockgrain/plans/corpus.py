@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockgrain.operators.drift import migrate, migration_report, schema_changes
+from lockgrain.operators.drift import migrate, migration_report, schema_changes, schema_registry
 from lockgrain.operators.eager import eager_join_aggregate, key_states
 from lockgrain.operators.flatten import flatten_locks, flatten_package_vulns
 from lockgrain.operators.hierarchy import descendants, hierarchies
@@ -89,13 +89,17 @@ def p4_steps(spark: SparkSession, d: str) -> DataFrame:
     return migration_report(table(spark, d, "lockfiles"))
 
 
+def p4_schemas(spark: SparkSession, d: str) -> DataFrame:
+    return schema_registry(table(spark, d, "lockfiles")).withColumn("steps", F.array_join("steps", "; "))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     locks = table(spark, d, "lockfiles").where("parsed_as = 'package-lock'").select("lock_id", "content")
     vulns = table(spark, d, "package_vulns").select("pv_id", "locations", "vulnerabilities")
     return flatten_locks(locks).unionByName(flatten_package_vulns(vulns))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_documents, p3_exposure, p4_found, p4_table, p4_steps, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_documents, p3_exposure, p4_found, p4_table, p4_steps, p4_schemas, p6_found)}
 
 _LINKS = """
 links AS (
