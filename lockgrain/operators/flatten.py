@@ -5,6 +5,9 @@ are used as they lie, and keys travel down by a vectorised take. Rows are never
 nesting depth is open (a lockfile's dependencies) is decoded once and then flattened level by level in the same way:
 each level is one list of keys, one list of lengths that become offsets, and a take of the parents' paths.
 
+``child_tables`` makes the related flat tables of any nested columns: one for each list, with the record's key, the position
+at every level as the link to its parents, and the plain values of its elements as columns.
+
 Defined results: null or empty lists, null structs and null elements give no row; positions count null elements; a
 text that is no JSON object gives no row; an entry that is no object is a row without children.
 """
@@ -18,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lockgrain.functions.jsontext import read_object
 from lockgrain.session import bound_batches
@@ -145,3 +149,90 @@ def flatten_package_vulns(vulns: DataFrame, record_id: str = "pv_id") -> DataFra
         ).alias("vulnerabilities"),
     )
     return pruned.mapInArrow(flatten_vulns, FLAT_SCHEMA)
+
+
+# --- any nested columns ---------------------------------------------------------------------------------------------
+
+
+def _lists_in(kind: T.DataType, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], T.DataType]]:
+    """(fields down to it, type of its elements) of each list in a type, through structs but not through lists."""
+    if isinstance(kind, T.ArrayType):
+        yield at, kind.elementType
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            yield from _lists_in(f.dataType, (*at, f.name))
+
+
+def _leaves(kind: T.DataType, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], T.DataType]]:
+    """(fields down to it, type) of each value in a type that is neither list nor struct."""
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            yield from _leaves(f.dataType, (*at, f.name))
+    elif not isinstance(kind, T.ArrayType):
+        yield at, kind
+
+
+def _dig(column: Column, fields: tuple[str, ...]) -> Column:
+    for f in fields:
+        column = column[f]
+    return column
+
+
+def _pruned(column: Column, steps: list[tuple[str, ...]], leaves: list[tuple[str, ...]]) -> Column:
+    """A nested list with nothing left but the way to the wanted list and its elements' values."""
+    if steps:
+        inner = lambda x: F.struct(_pruned(_dig(x, steps[0]), steps[1:], leaves).alias("next"))
+    else:
+        inner = lambda x: F.struct(F.lit(True).alias("is"), *(_dig(x, leaf).alias(f"l{i}") for i, leaf in enumerate(leaves)))
+    return F.transform(column, lambda x: F.when(x.isNotNull(), inner(x)))
+
+
+def _flattener(levels: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists, positions = batch.column(0), batch.column(1), []
+            for level in range(levels):
+                values, parent, position = unnest(lists)
+                keys, positions = keys.take(parent), [*(p.take(parent) for p in positions), position]
+                lists = field(values, "next") if level + 1 < levels else None
+            columns = [field(values, f"l{i}") for i in range(len(names) - 1 - levels)]
+            yield pa.RecordBatch.from_arrays([keys, *positions, *columns], names=names)
+
+    return run
+
+
+def child_tables(df: DataFrame, key: str, *columns: str) -> dict[str, DataFrame]:
+    """The flat tables of nested columns, by the path of their list ('vulnerabilities.affected.ranges').
+
+    Each has the record's key, at_1 to at_n (positions, from 0, of the element and all elements above it; with the key
+    they name the parent row) and the element's plain values, structs spread as a_b; an element that is itself plain is
+    the column ``value``. Lists within the element have tables of their own; a list of lists is no table. Null elements
+    count in positions and give no row; names that clash get a number.
+    """
+    bound_batches(df.sparkSession)
+    tables: dict[str, DataFrame] = {}
+    key_kind = df.schema[key].dataType.simpleString()
+
+    def add(top: Column, steps: list[tuple[str, ...]], path: str, element: T.DataType) -> None:
+        if isinstance(element, T.ArrayType):
+            return
+        leaves = list(_leaves(element))
+        names = [key, *(f"at_{i + 1}" for i in range(len(steps) + 1))]
+        for at, _ in leaves:
+            name = base = "_".join(at) or "value"
+            n = 1
+            while name in names:
+                n += 1
+                name = f"{base}_{n}"
+            names.append(name)
+        kinds = [key_kind, *["long"] * (len(steps) + 1), *(k.simpleString() for _, k in leaves)]
+        schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+        slim = df.select(F.col(key), _pruned(top, steps, [at for at, _ in leaves]).alias("lists"))
+        tables[path] = slim.mapInArrow(_flattener(len(steps) + 1, names), schema)
+        for at, inner in _lists_in(element):
+            add(top, [*steps, at], f"{path}.{'.'.join(at)}", inner)
+
+    for c in columns:
+        for at, element in _lists_in(df.schema[c].dataType):
+            add(_dig(F.col(c), at), [], ".".join((c, *at)), element)
+    return tables

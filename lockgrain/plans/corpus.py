@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lockgrain.operators.drift import migrate, migration_report, schema_changes, schema_registry
 from lockgrain.operators.eager import eager_join_aggregate, key_states
-from lockgrain.operators.flatten import flatten_locks, flatten_package_vulns
+from lockgrain.operators.flatten import child_tables, flatten_locks, flatten_package_vulns
 from lockgrain.operators.hierarchy import descendants, hierarchies
 from lockgrain.session import table
 
@@ -99,7 +99,42 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten_locks(locks).unionByName(flatten_package_vulns(vulns))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_documents, p3_exposure, p4_found, p4_table, p4_steps, p4_schemas, p6_found)}
+def _child(path: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return child_tables(table(spark, d, "package_vulns"), "pv_id", "locations", "vulnerabilities")[path]
+
+    return query
+
+
+#: The related tables of package_vulns by query.
+_CHILDREN = {
+    "p6_locations": "locations", "p6_vulnerabilities": "vulnerabilities", "p6_aliases": "vulnerabilities.aliases", "p6_affected": "vulnerabilities.affected", "p6_affected_versions": "vulnerabilities.affected.versions",
+    "p6_ranges": "vulnerabilities.affected.ranges", "p6_events": "vulnerabilities.affected.ranges.events", "p6_severity": "vulnerabilities.severity",
+}
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_documents, p3_exposure, p4_found, p4_table, p4_steps, p4_schemas, p6_found)} | {name: _child(path) for name, path in _CHILDREN.items()}
+
+_VULNS = "v AS (SELECT pv_id, i - 1 AS at_1, v FROM (SELECT pv_id, unnest(vulnerabilities) AS v, unnest(range(1, len(vulnerabilities) + 1)) AS i FROM package_vulns) WHERE v IS NOT NULL)"
+_AFFECTED = _VULNS + ", a AS (SELECT pv_id, at_1, i - 1 AS at_2, a FROM (SELECT pv_id, at_1, unnest(v.affected) AS a, unnest(range(1, len(v.affected) + 1)) AS i FROM v) WHERE a IS NOT NULL)"
+_RANGES = _AFFECTED + ", r AS (SELECT pv_id, at_1, at_2, i - 1 AS at_3, r FROM (SELECT pv_id, at_1, at_2, unnest(a.ranges) AS r, unnest(range(1, len(a.ranges) + 1)) AS i FROM a) WHERE r IS NOT NULL)"
+
+
+def _values(cte: str, of: str, keys: str, last: str, columns: str) -> str:
+    """SQL of the table of an inner list: its parents' keys, the position and the wanted columns of element x."""
+    return f"WITH {cte} SELECT {keys}, i - 1 AS {last}, {columns} FROM (SELECT {keys}, unnest({of}) AS x, unnest(range(1, len({of}) + 1)) AS i FROM {of.split('.')[0]}) WHERE x IS NOT NULL"
+
+
+_SPOT = ", ".join(f"x.{p}.{c} AS {p}_{c}" for p in ("block", "namespace", "name", "version") for c in ("file_name", "line_start", "line_end", "column_start", "column_end"))
+_CHILD_SQL = {
+    "p6_locations": f"SELECT pv_id, i - 1 AS at_1, {_SPOT} FROM (SELECT pv_id, unnest(locations) AS x, unnest(range(1, len(locations) + 1)) AS i FROM package_vulns) WHERE x IS NOT NULL",
+    "p6_vulnerabilities": f"WITH {_VULNS} SELECT pv_id, at_1, v.id, v.modified, v.published, v.withdrawn, v.summary FROM v",
+    "p6_aliases": _values(_VULNS, "v.v.aliases", "pv_id, at_1", "at_2", "x AS value"),
+    "p6_affected": f"WITH {_AFFECTED} SELECT pv_id, at_1, at_2, a.package.ecosystem AS package_ecosystem, a.package.name AS package_name, a.package.purl AS package_purl FROM a",
+    "p6_affected_versions": _values(_AFFECTED, "a.a.versions", "pv_id, at_1, at_2", "at_3", "x AS value"),
+    "p6_ranges": f"WITH {_RANGES} SELECT pv_id, at_1, at_2, at_3, r.type FROM r",
+    "p6_events": _values(_RANGES, "r.r.events", "pv_id, at_1, at_2, at_3", "at_4", "x.introduced, x.fixed, x.last_affected"),
+    "p6_severity": _values(_VULNS, "v.v.severity", "pv_id, at_1", "at_2", "x.type, x.score"),
+}
 
 _LINKS = """
 links AS (
@@ -133,6 +168,7 @@ come AS (SELECT *, row_number() OVER (PARTITION BY source_path, rev, value ORDER
 """
 
 SQL = {
+    **_CHILD_SQL,
     "p4_found": f"""WITH {_FIELDS}
 SELECT source_path, rev, CASE WHEN g.name IS NULL THEN 'added' WHEN c.name IS NULL THEN 'removed' ELSE 'renamed' END AS drift, coalesce(g.name, '') AS old_field, coalesce(c.name, '') AS new_field FROM gone g FULL JOIN come c USING (source_path, rev, value, nth)
 UNION ALL SELECT source_path, rev, 'retyped', o.name, o.name FROM old o JOIN new n USING (source_path, rev, name) WHERE o.kind <> n.kind""",

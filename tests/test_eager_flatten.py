@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lockgrain.operators.eager import eager_join_aggregate, join_states, key_states
-from lockgrain.operators.flatten import flatten_locks, flatten_package_vulns, unnest
+from lockgrain.operators.flatten import child_tables, flatten_locks, flatten_package_vulns, unnest
 
 
 def test_join_without_joined_rows(spark):
@@ -70,3 +70,21 @@ def test_package_vulns(spark):
         ("event", 1, "V1/1/0", "0"), ("event", 1, "V1/1/0", "2"), ("vulnerability", 4, "", None), ("affected", 4, None, "0"), ("affected", 4, None, "1"),
     ]
     assert got == sorted(want, key=str)
+
+
+def test_child_tables(spark):
+    schema = "id string, a array<struct<id:string,s:struct<x:int,l:array<string>>,b:array<struct<at_1:int,m:map<string,int>>>,q:array<array<int>>>>, s struct<t:array<int>>, other string"
+    rows = [
+        ("r1", [("e0", (1, ["u", None, "v"]), [(7, {"k": 1}), None], [[1]]), None, ("e2", None, [], None)], ([5, None],), "x"),
+        ("r2", None, None, None), (None, [(None, (None, None), None, None)], (None,), None), ("r1", [], ([],), "y"),
+    ]
+    got = {k: sorted((tuple(r) for r in t.collect()), key=str) for k, t in child_tables(spark.createDataFrame(rows, schema), "id", "a", "s").items()}
+    assert got == {
+        "a": [("r1", 0, "e0", 1), ("r1", 2, "e2", None), (None, 0, None, None)],
+        "a.s.l": [("r1", 0, 0, "u"), ("r1", 0, 2, "v")],
+        "a.b": [("r1", 0, 0, 7, {"k": 1})],
+        "s.t": [("r1", 0, 5)],
+    }
+    tables = child_tables(spark.createDataFrame(rows, schema), "id", "a")
+    assert tables["a"].columns == ["id", "at_1", "id_2", "s_x"] and tables["a.b"].columns == ["id", "at_1", "at_2", "at_1_2", "m"]
+    assert all(t.count() == 0 for t in child_tables(spark.createDataFrame([], schema), "id", "a", "s").values())
