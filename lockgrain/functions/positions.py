@@ -5,6 +5,8 @@ Column expressions for tables of text; the functions with Python in their name s
 
 from __future__ import annotations
 
+import bisect
+import json
 import re
 
 from pyspark.sql import Column
@@ -112,6 +114,39 @@ def toml_tables(lines: list[str], head: str) -> list[tuple[int, int, int, int]]:
     return found
 
 
+def json_objects(text: str, group: str) -> dict[tuple[str, ...], tuple[int, int, int, int]]:
+    """Python: (line start, line end, column start, column end) of each object that is a value in an object named group,
+    by the keys down to it without the group's own; groups nested in such objects count as well.
+
+    The start is the first character of the key's line, the end stands behind the closing brace. Braces in strings don't
+    count, and objects may share a line.
+    """
+    found: dict[tuple[str, ...], tuple[int, int, int, int]] = {}
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda at: bisect.bisect_right(starts, at) - 1
+    stack: list[tuple[str | None, int, tuple[str, ...] | None]] = []  # key, its place, and the path if the object counts
+    key, key_at = None, 0
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}\[\],]', text):
+        token = m.group()
+        if token[0] == '"':
+            if text[m.end() :].lstrip()[:1] == ":":
+                key, key_at = json.loads(token), m.start()
+        elif token in "{[":
+            above = next((p for _, _, p in reversed(stack) if p is not None), ())
+            inside = bool(stack) and stack[-1][0] == group and token == "{" and key is not None
+            stack.append((key, key_at, (*above, key) if inside else None))
+            key = None
+        elif token in "}]" and stack:
+            _, at, path = stack.pop()
+            if path is not None:
+                first, last = line(at), line(m.start())
+                raw = text[starts[first] : at]
+                found[path] = (first + 1, last + 1, len(raw) - len(raw.lstrip()) + 1, m.end() - starts[last] + 1)
+        elif token == ",":
+            key = None
+    return found
+
+
 def safe_int(value: Column) -> Column:
     """A whole number as int; null if it doesn't fit."""
     return value.try_cast("int")

@@ -159,6 +159,17 @@ def advisory_affects(spark, d):
     return out.select("advisory_id", F.array_join("affects", ",").alias("affects"))
 
 
+def vulnerability_projection(spark, d):
+    """What a document tells of each vulnerability."""
+    rows = cyclonedx.vulnerability_rows(table(spark, d, "package_vulns"))
+    joined = lambda c: F.array_join(c, ",", "-")
+    return rows.select("id", "updated", "published", "rejected", "description", joined("references").alias("references"), joined("affects").alias("affects"), joined(F.transform("ratings", lambda r: F.concat(F.coalesce(r["method"], F.lit("-")), F.lit(" "), F.coalesce(r["vector"], F.lit("-"))))).alias("ratings"))
+
+
+def vulnerability_json(spark, d):
+    return table(spark, d, "package_vulns").select("pv_id", cyclonedx.vulnerability_json(F.col("vulnerabilities")).alias("json"))
+
+
 def line_positions(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     lines = positions.split_lines(F.col("text"))
@@ -193,7 +204,7 @@ QUERIES = {
     for f in (
         filter_ranged_versions, dropped_reasons, purl_projection, purl_invalid, direct_purls, dev_group_flag, base_metadata, group_by_source, unidentified_rows,
         group_by_purl, merge_metadata_strict, last_wins_dedupe, ecosystem_list, render_lines, id_order, transitive_closure, closure_with_cycle,
-        artifact_edges, reach_join, advisory_affects, line_positions, line_columns, json_sections, json_props_explode, location_clean,
+        artifact_edges, reach_join, advisory_affects, vulnerability_projection, vulnerability_json, line_positions, line_columns, json_sections, json_props_explode, location_clean,
     )
 }
 
@@ -260,6 +271,11 @@ FROM adv a LEFT JOIN hits h ON a.purl = h.purl AND a.advisory_id = h.advisory_id
     "advisory_affects": f"""WITH {_ADVISORIES}
 SELECT a.advisory_id, coalesce({_JOINED.format("list(h.purl) FILTER (WHERE h.purl IS NOT NULL)")}, '') AS affects
 FROM adv a LEFT JOIN hits h ON a.purl = h.purl AND a.advisory_id = h.advisory_id GROUP BY a.advisory_id""",
+    "vulnerability_projection": """WITH v AS (SELECT source_path, package.purl AS purl, unnest(vulnerabilities) AS v FROM package_vulns),
+f AS (SELECT v FROM v WHERE v.id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY source_path NULLS FIRST, purl NULLS FIRST) = 1)
+SELECT v.id AS id, strftime(v.modified, '%Y-%m-%dT%H:%M:%SZ') AS updated, strftime(v.published, '%Y-%m-%dT%H:%M:%SZ') AS published, strftime(v.withdrawn, '%Y-%m-%dT%H:%M:%SZ') AS rejected, v.summary AS description,
+  coalesce(array_to_string([coalesce(x, '-') FOR x IN v.aliases], ','), '') AS references, coalesce(array_to_string([coalesce(x.package.purl, '-') FOR x IN v.affected IF x.package IS NOT NULL], ','), '') AS affects,
+  coalesce(array_to_string([CASE x.type WHEN 'CVSS_V2' THEN 'CVSSv2' WHEN 'CVSS_V3' THEN 'CVSSv3' WHEN 'CVSS_V4' THEN 'CVSSv4' ELSE '-' END || ' ' || coalesce(x.score, '-') FOR x IN v.severity IF x IS NOT NULL], ','), '') AS ratings FROM f""",
     "line_positions": """WITH t AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS lines FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, len(lines) AS n_lines, list_position([contains(x, 'package') for x in lines], true) AS k, lines FROM t)
 SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(nullif(coalesce(k, 0), 0) AS INTEGER) AS line_no, CAST(CASE WHEN k > 0 THEN instr(lines[k], 'package') END AS INTEGER) AS column_start, CAST(CASE WHEN k > 0 THEN instr(lines[k], 'package') + 7 END AS INTEGER) AS column_end FROM h""",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,10 @@ class NoPackagesFound(Exception):
     """No file gave any package."""
 
 
+class APIFailed(Exception):
+    """A remote source that is required could not be read."""
+
+
 @dataclass(frozen=True)
 class ScanOptions:
     paths: tuple[str, ...]
@@ -29,7 +35,9 @@ class ScanOptions:
     ignore: bool = True
     parsers: tuple[str, ...] = ()
     reachability: bool = False
-    advisories: DataFrame | None = None  # ADVISORY rows; without them nothing is reachable
+    advisories: DataFrame | None = None  # ADVISORY rows
+    ask_advisories: Callable[[SparkSession, DataFrame], DataFrame] | None = None  # (session, purls) to ADVISORY rows, where there is no table
+    require_advisories: bool = False  # raise APIFailed if they can't be had; else the scan goes on without reachability
     pom_repository: DataFrame | None = None  # (path, text) of poms that no local file gives
 
 
@@ -70,7 +78,7 @@ def _one_root(spark: SparkSession, root: str, options: ScanOptions) -> tuple[Dat
         errors = errors.unionByName(decoded.where("error is not null").select("path", F.lit("pom.xml").alias("parser"), F.col("error").alias("message")))
     else:
         artifacts = spark.createDataFrame([], "name string, version string, filename string, ecosystem string, depends_on struct<name:string,version:string,filename:string>")
-    base = os.path.dirname(os.path.abspath(root)) if os.path.isfile(root) else os.path.abspath(root) if os.path.exists(root) else root
+    base = os.path.dirname(os.path.abspath(root)) if os.path.isfile(root) else os.path.abspath(root) if os.path.exists(root) else re.sub("^file:/+", "/", root)
     return (
         _relativize(packages, base, "source_path", "block", "name_loc", "version_loc"),
         _relativize(artifacts, base, "filename", "depends_on"),
@@ -79,6 +87,21 @@ def _one_root(spark: SparkSession, root: str, options: ScanOptions) -> tuple[Dat
     )
 
 
+def _advisories(spark: SparkSession, options: ScanOptions, packages: DataFrame) -> DataFrame | None:
+    """ADVISORY rows from the table or the service given; None, with a warning, if there are none to be had."""
+    if options.advisories is not None:
+        return options.advisories
+    try:
+        if options.ask_advisories is None:
+            raise ValueError("neither a table nor a service of advisories is given")
+        return options.ask_advisories(spark, inventory.direct_purls(packages))
+    except (OSError, ValueError) as e:
+        if options.require_advisories:
+            raise APIFailed(f"advisories: {e}") from e
+        log.warning("advisories: %s; going on without reachability", e)
+        return None
+
+
 def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
     """Reads all paths. Raises NoPackagesFound if no file gives a package."""
     parts = [_one_root(spark, p, options) for p in options.paths]
@@ -92,8 +115,9 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
     good, nameless = inventory.identify(good)
     dropped = dropped.unionByName(nameless.withColumn("reason", F.lit("no name, ecosystem or commit")).drop("purl"))
     reachable = None
-    if options.reachability and options.advisories is not None:
-        known = reach.checked_advisories(inventory.direct_purls(good), options.advisories)
+    advisories = _advisories(spark, options, good) if options.reachability else None
+    if advisories is not None:
+        known = reach.checked_advisories(inventory.direct_purls(good), advisories)
         java = [source_files.read_tree(spark, p, options.recursive, False) for p in options.paths]
         sites = reach.java_call_sites(java[0])
         for j in java[1:]:
@@ -119,8 +143,12 @@ def merged_packages(result: ScanResult) -> DataFrame:
     return out.withColumn("metadata", F.map_concat(base, F.coalesce("symbols", F.create_map().cast("map<string,string>")))).drop("symbols")
 
 
-def to_cyclonedx(spark: SparkSession, result: ScanResult | None, **prefixes: str) -> dict:
-    """The CycloneDX document of a scan; of nothing, an empty one."""
+def to_cyclonedx(spark: SparkSession, result: ScanResult | None, records: DataFrame | None = None, **prefixes: str) -> dict:
+    """The CycloneDX document of a scan; of nothing, an empty one.
+
+    ``records``: PackageVulns rows. Those of the scan's packages are described in the document, ahead of what
+    reachability says of the same id.
+    """
     if result is None:
         return {"$schema": cyclonedx.SCHEMA, "bomFormat": "CycloneDX", "specVersion": "1.5", "version": 1, "components": [], "dependencies": [], "vulnerabilities": []}
     merged = cut_lineage(merged_packages(result))
@@ -128,9 +156,19 @@ def to_cyclonedx(spark: SparkSession, result: ScanResult | None, **prefixes: str
     places = merged.select("name", "version", F.explode("locations").alias("l")).select("name", "version", F.col("l.block.file_name").alias("file"))
     edges = cyclonedx.dependency_edges(places, result.artifacts)
     vulns = reach.affected_purls(result.reachable).select(F.col("advisory_id").alias("id"), "affects") if result.reachable is not None else spark.createDataFrame([], "id string, affects array<string>")
+    if records is not None:
+        own = records.join(result.packages.select(F.col("purl").alias("__purl")).distinct(), records["package.purl"] == F.col("__purl"), "left_semi")
+        told = cyclonedx.vulnerability_rows(own)
+        vulns = told.unionByName(vulns.join(told.select("id"), "id", "left_anti"), allowMissingColumns=True)
     return cyclonedx.document(components, edges, vulns)
 
 
+def write_json_lines(result: ScanResult, path: str) -> None:
+    """The packages as JSON Lines, one package a line, written by the executors: nothing passes through the driver."""
+    cols = ["source_path", "name", "version", "ecosystem", "purl", "dep_groups", "block", "name_loc", "version_loc", "metadata", "advisories"]
+    result.packages.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").text(path)
+
+
 def to_json(result: ScanResult | None) -> dict:
     """The result grouped by source, as plain JSON."""
     if result is None:

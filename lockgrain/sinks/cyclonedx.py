@@ -71,20 +71,36 @@ def vulnerability_rows(vulns: DataFrame) -> DataFrame:
     first = rows.groupBy(F.col("v.id").alias("id")).agg(F.min_by("v", F.struct("source_path", "at")).alias("v"))
     stamp = lambda c: F.when(F.col(f"v.{c}").isNotNull(), F.date_format(f"v.{c}", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     method = F.create_map(*(F.lit(x) for kv in METHODS.items() for x in kv))
+    names = {f.name for f in first.schema["v"].dataType.fields}
+    empty = lambda kind: F.array().cast(kind)
+    urls = F.transform(F.filter("v.references", lambda r: r["type"] == "ADVISORY"), lambda r: r["url"]) if "references" in names else F.lit(None)
+    credits = F.transform("v.credits", lambda c: F.struct(c["name"].alias("name"), c["contact"].alias("url"))) if "credits" in names else F.lit(None)
     return first.select(
-        "id", stamp("modified").alias("updated"), stamp("published").alias("published"), stamp("withdrawn").alias("rejected"), F.col("v.summary").alias("description"),
-        F.coalesce("v.aliases", F.array().cast("array<string>")).alias("references"),
-        F.transform(F.coalesce(F.filter("v.affected", lambda a: a["package"].isNotNull()), F.array().cast("array<struct<package:struct<ecosystem:string,name:string,purl:string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,versions:array<string>>>")), lambda a: a["package"]["purl"]).alias("affects"),
-        F.transform(F.coalesce("v.severity", F.array().cast("array<struct<type:string,score:string>>")), lambda s: F.struct(method[s["type"]].alias("method"), s["score"].alias("vector"))).alias("ratings"),
+        "id", stamp("modified").alias("updated"), stamp("published").alias("published"), stamp("withdrawn").alias("rejected"), F.col("v.summary").alias("description"), (F.col("v.details") if "details" in names else F.lit(None).cast("string")).alias("detail"),
+        F.coalesce("v.aliases", empty("array<string>")).alias("references"),
+        F.coalesce(F.transform(F.filter("v.affected", lambda a: a["package"].isNotNull()), lambda a: a["package"]["purl"]), empty("array<string>")).alias("affects"),
+        F.coalesce(F.transform(F.filter("v.severity", lambda s: s.isNotNull()), lambda s: F.struct(method[s["type"]].alias("method"), s["score"].alias("vector"))), empty("array<struct<method:string,vector:string>>")).alias("ratings"),
+        F.coalesce(urls.cast("array<string>"), empty("array<string>")).alias("advisories"),
+        F.coalesce(credits.cast("array<struct<name:string,url:array<string>>>"), empty("array<struct<name:string,url:array<string>>>")).alias("credits"),
     )
 
 
+def vulnerability_json(vulnerabilities: Column) -> Column:
+    """JSON text of an array of vulnerabilities: '[]' for none, fields without a value and affected packages without any left out."""
+    full = F.filter(vulnerabilities, lambda v: v.isNotNull())
+    some = lambda p: (F.coalesce(p["purl"], F.lit("")) != "") | (F.coalesce(p["name"], F.lit("")) != "") | (F.coalesce(p["ecosystem"], F.lit("")) != "")
+    bare = F.transform(full, lambda v: v.withField("affected", F.transform(F.filter(v["affected"], lambda a: a.isNotNull()), lambda a: a.withField("package", F.when(some(a["package"]), a["package"])))))
+    text = F.to_json(bare, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
+    return F.coalesce(text, F.lit("[]"))
+
+
 def ordered_ids(ids: DataFrame, column: str = "id") -> DataFrame:
     return ids.orderBy(id_rank(F.col(column)), column)
 
 
 def document(components: DataFrame, edges: DataFrame, vulnerabilities: DataFrame) -> dict:
-    """The document. ``vulnerabilities`` has id and affects (array of purls, may be empty)."""
+    """The document. ``vulnerabilities`` has id and affects (array of purls, may be empty), and may have the other columns
+    of vulnerability_rows."""
     comps = []
     for r in components.orderBy("bom_ref").toLocalIterator():
         c = {"bom-ref": r["bom_ref"], "type": r["type"], "name": r["name"], "version": r["version"], "purl": r["purl"]}
@@ -97,8 +113,17 @@ def document(components: DataFrame, edges: DataFrame, vulnerabilities: DataFrame
     vulns = []
     for r in vulnerabilities.orderBy("id").toLocalIterator():
         v = {"bom-ref": r["id"], "id": r["id"]}
-        if r["affects"]:
-            v["affects"] = [{"ref": a} for a in r["affects"]]
+        told = r.asDict(recursive=True)
+        v |= {k: told[k] for k in ("description", "detail", "published", "updated", "rejected") if told.get(k)}
+        lists = {
+            "references": [{"id": x} for x in told.get("references") or []],
+            "ratings": [{k: x[k] for k in ("method", "vector") if x[k]} for x in told.get("ratings") or []],
+            "advisories": [{"url": x} for x in told.get("advisories") or []],
+            "affects": [{"ref": x} for x in told["affects"] or []],
+        }
+        v |= {k: x for k, x in lists.items() if x}
+        if told.get("credits"):
+            v["credits"] = {"organizations": told["credits"]}
         vulns.append(v)
     return {"$schema": SCHEMA, "bomFormat": "CycloneDX", "specVersion": "1.5", "version": 1, "components": comps, "dependencies": deps, "vulnerabilities": vulns}
 

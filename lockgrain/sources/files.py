@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +51,8 @@ def relative_to(path: Column, root: str) -> Column:
 def read_tree(spark: SparkSession, root: str, recursive: bool = True, ignore: bool = True) -> DataFrame:
     """(path, text) of the wanted files below a local or shared folder, or of one file.
 
-    Folders named .git are skipped. With ``ignore``, the rules of a local repository apply; its folders are pruned while
-    listing. Contents are read and decoded by the executors.
+    Folders named .git are skipped. With ``ignore``, the rules of a local repository apply, whose folders are pruned while
+    listing, or those of the ignore files in a shared folder. Contents are read and decoded by the executors.
     """
     bound_batches(spark)
     read = spark.read.format("binaryFile")
@@ -65,9 +66,41 @@ def read_tree(spark: SparkSession, root: str, recursive: bool = True, ignore: bo
     else:
         found = read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "{" + ",".join(WANTED) + "}").load(root)
         found = found.where(~F.col("path").rlike(r"(^|/)\.git/"))
+        if ignore:
+            found = _without_ignored(found, root, recursive)
     return found.select(plain_path(F.col("path")).alias("path"), decoded(F.col("content")).alias("text"))
 
 
+RULE_BYTES = 16 << 20  # bytes of all ignore files of a shared folder, which travel with the tasks
+
+
+def _without_ignored(found: DataFrame, root: str, recursive: bool) -> DataFrame:
+    """Files of a shared folder that its ignore files leave; the folder counts as the repository's root.
+
+    Spark passes over files whose name begins with a dot, so the file system is asked, level by level.
+    """
+    spark = found.sparkSession
+    jvm = spark.sparkContext._jvm
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+    top = re.sub(scheme, "/", root).rstrip("/")
+    inner = found.withColumn("__rel", relative_to(F.regexp_replace("path", scheme, "/"), top))
+    deepest = inner.agg(F.max(F.size(F.split("__rel", "/")))).first()[0] or 0
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rules: list[gitignore.Rule] = []
+    size = 0
+    for level in range(deepest if recursive else min(deepest, 1)):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root + "/*" * level + "/.gitignore")) or ():
+            size += status.getLen()
+            if size > RULE_BYTES:
+                raise ValueError(f"the ignore files of {root} hold more than {RULE_BYTES} bytes")
+            stream = fs.open(status.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            folder = os.path.dirname(re.sub(scheme, "/", status.getPath().toString()))
+            rules += gitignore.read_rules(text.splitlines(), folder[len(top) :].strip("/"))
+    return drop_ignored(inner, rules, "__rel").drop("__rel") if rules else found
+
+
 def local_files(root: str, recursive: bool, ignore: bool) -> list[str]:
     from fnmatch import fnmatch
 

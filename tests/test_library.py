@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lockgrain.functions.positions import safe_int, toml_tables
-from lockgrain.sinks.cyclonedx import vulnerability_rows
+from lockgrain.functions.positions import json_objects, safe_int, toml_tables
+from lockgrain.sinks.cyclonedx import vulnerability_json, vulnerability_rows
 from lockgrain.sources.advisories import NoCredentials, Service, auth_headers, base_url, fetch
 from lockgrain.sources.files import drop_ignored
 from lockgrain.sources.formats.go_binary import FRAME, MAGIC
@@ -63,3 +63,21 @@ def test_vulnerabilities(spark):
     df = spark.createDataFrame([("b", ("q",), [vuln]), ("a", ("p",), [vuln[:5] + ("first",) + vuln[6:], None, (None,) * 8]), ("c", None, None)], schema.replace("summary string", "summary:string").replace("affected array", "affected:array").replace("severity array", "severity:array"))
     (row,) = vulnerability_rows(df).collect()
     assert row.description == "first" and row.affects == ["p"] and [r.method for r in row.ratings] == ["CVSSv3", None] and row.references == ["CVE-1"] and row.updated is None
+
+
+def test_places_of_json_objects():
+    text = '{\n  "dependencies": {\n    "a": {\n      "version": "}{",\n      "dependencies": {\n        "b": { "x": [{"c": {}}] }\n      }\n    }, "d": {}\n  },\n  "other": {"e": {}}\n}\n'
+    assert json_objects(text, "dependencies") == {("a",): (3, 8, 5, 6), ("a", "b"): (6, 6, 9, 34), ("d",): (8, 8, 5, 15)}
+    assert json_objects("", "x") == {} and json_objects('{"x": [1, {"y": {}}]}', "x") == {}
+    deep = '{"k":' * 3000 + "{}" + "}" * 3000
+    assert len(json_objects(deep, "k")) == 2999
+
+
+def test_vulnerability_text(spark):
+    kind = "array<struct<id:string,modified:timestamp_ntz,affected:array<struct<package:struct<ecosystem:string,name:string,purl:string>,versions:array<string>>>>>"
+    rows = [(1, None), (2, []), (3, [None]), (4, [("V", None, [((None, None, ""), ["1"]), (("npm", "a", None), None), None])])]
+    df = spark.createDataFrame(rows, f"id int, v {kind}")
+    got = {r.id: r.j for r in df.select("id", vulnerability_json(F.col("v")).alias("j")).collect()}
+    assert got == {1: "[]", 2: "[]", 3: "[]", 4: '[{"id":"V","affected":[{"versions":["1"]},{"package":{"ecosystem":"npm","name":"a"}}]}]'}
+    back = df.where("id = 4").select(F.from_json(vulnerability_json(F.col("v")), kind).alias("v")).first().v
+    assert back[0].id == "V" and len(back[0].affected) == 2

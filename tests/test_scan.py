@@ -84,3 +84,43 @@ def test_parse_as_and_stream(spark, tree, tmp_path):
     query = stream_packages(spark, str(tree), ["package-lock.json"]).writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("streamed").where("error is null").count() == 6
+
+
+def test_advisories_from_a_service(spark, tree, tmp_path, capsys):
+    """Without any the scan goes on; required ones that can't be had end it with 129; a service is asked for direct packages."""
+    from lockgrain.sources.advisories import Service, fetch
+
+    asked = []
+
+    def post(url, headers, body):
+        asked.extend(json.loads(body)["data"]["attributes"]["purls"])
+        return json.dumps({"data": {"attributes": {"results": [{"purl": "pkg:maven/q/r@3", "vulnerable_symbols": [{"advisory_id": "A", "symbols": [{"type": "class", "value": "q", "name": "Box"}]}]}]}}})
+
+    ask = lambda s, purls: fetch(s, purls, Service((), "h.example", "v1", "Authorization", ("", "")), jwt="t", post=post)
+    result = scan(spark, ScanOptions((str(tree),), reachability=True, ask_advisories=ask))
+    assert "pkg:maven/q/r@3" in asked and {r.purl: r.reachable for r in result.reachable.collect()} == {"pkg:maven/q/r@3": ["A"]}
+    out = tmp_path / "o.json"
+    closed = ["--reachability", "--advisories-url", "http://127.0.0.1:9/v1", "--advisories-token", "t", "--enable-parsers", "package-lock.json", "--output", str(out)]
+    assert main([str(tree), *closed], spark) == 0 and json.loads(out.read_text())["results"]
+    assert main([str(tree), *closed, "--require-advisories"], spark) == 129
+    assert main([str(tree), "--reachability", "--require-advisories", "--enable-parsers", "package-lock.json"], spark) == 129
+
+
+def test_vulnerabilities_in_the_document(spark, tree):
+    vuln = "struct<id:string,modified:timestamp_ntz,published:timestamp_ntz,withdrawn:timestamp_ntz,aliases:array<string>,summary:string,affected:array<struct<package:struct<ecosystem:string,name:string,purl:string>>>,severity:array<struct<type:string,score:string>>,references:array<struct<type:string,url:string>>,credits:array<struct<name:string,contact:array<string>>>>"
+    one = ("V1", None, None, None, ["CVE-1"], "bad", [(("npm", "a", "pkg:npm/a@1.0"),), (None,)], [("CVSS_V3", "x")], [("ADVISORY", "u1"), ("WEB", "u2")], [("n", ["c"])])
+    records = spark.createDataFrame([("s", ("pkg:npm/a@1.0",), [one]), ("s", ("pkg:npm/other@1",), [("V2", *one[1:])])], f"source_path string, package struct<purl:string>, vulnerabilities array<{vuln}>")
+    bom = to_cyclonedx(spark, scan(spark, ScanOptions((str(tree),), parsers=("package-lock.json",))), records)
+    assert bom["vulnerabilities"] == [
+        {"bom-ref": "V1", "id": "V1", "description": "bad", "references": [{"id": "CVE-1"}], "ratings": [{"method": "CVSSv3", "vector": "x"}], "advisories": [{"url": "u1"}], "affects": [{"ref": "pkg:npm/a@1.0"}], "credits": {"organizations": [{"name": "n", "url": ["c"]}]}}
+    ]
+
+
+def test_json_lines_and_shared_folders(spark, tree, tmp_path):
+    out = tmp_path / "lines"
+    assert main([f"file://{tree}", "--format", "jsonl", "--output", str(out), "--enable-parsers", "package-lock.json"], spark) == 0
+    rows = [json.loads(line) for p in out.glob("part-*") for line in p.read_text().splitlines()]
+    assert len(rows) == 4 and not any("skipped" in r["source_path"] for r in rows)
+    assert main([f"file://{tree}", "--no-ignore", "--format", "jsonl", "--output", str(out), "--enable-parsers", "package-lock.json"], spark) == 0
+    assert sum(len(p.read_text().splitlines()) for p in out.glob("part-*")) == 6
+    assert main([str(tree), "--format", "jsonl"], spark) == 127
