@@ -53,6 +53,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with unequal chances: a document's chance grows with the root of its length, so short ones come more often
+    than by their tokens."""
+    sizes = encode_corpus(table(spark, d, "documents"), keep=("doc_id", "source"), out="n_tokens", counts_only=True)
+    return pareto_mix(sizes.withColumn("weight", F.sqrt("n_tokens")), table(spark, d, "mix_targets"))[0]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(table(spark, d, "documents"))
 
@@ -66,7 +73,7 @@ def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence(table(spark, d, "documents")).groupBy("why").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p5_found, p5_top_names, p7_ids, p8_mix, p8_shares, p9_found, p9_rates, p9_evidence)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p5_found, p5_top_names, p7_ids, p8_mix, p8_shares, p8_weighted, p9_found, p9_rates, p9_evidence)}
 
 _CANON = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _REPORTS = """

@@ -165,11 +165,12 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
     return _ENCODERS[key]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind: pa.DataType | None = None) -> pa.Array:
+    kind = kind or pa.int32()
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    values = np.concatenate(arrays).astype(np.int32) if arrays else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    values = np.concatenate(arrays) if arrays else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype()), kind))
 
 
 def _short(get: Callable[[], Vocabulary], counts_only: bool) -> Callable:
@@ -196,25 +197,33 @@ def _cut(size: int) -> Callable:
 SEGMENT = "key binary, k int, text string, ids array<int>, ends array<long>, marks array<long>"
 
 
+def _packed(keys: pa.Array, ks: pa.Array, found: list[Segment]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [keys.cast(pa.binary()), ks.cast(pa.int32()), pa.array([s.text for s in found], pa.string()), _lists([s.ids for s in found]), _lists([s.ends for s in found], pa.int64()), _lists([s.marks for s in found], pa.int64())],
+        names=["key", "k", "text", "ids", "ends", "marks"],
+    )
+
+
 def _segments(get: Callable[[], Vocabulary]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(get())
         for batch in batches:
-            found = [enc.segment(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").cast(pa.binary()), batch.column("k"), batch.column("text"), _lists([s.ids for s in found]), pa.array([s.ends for s in found], pa.list_(pa.int64())), pa.array([s.marks for s in found], pa.list_(pa.int64()))],
-                names=["key", "k", "text", "ids", "ends", "marks"],
-            )
+            yield _packed(batch.column("key"), batch.column("k"), [enc.segment(t) for t in batch.column("text").to_pylist()])
 
     return run
 
 
-def _merged(get: Callable[[], Vocabulary]) -> Callable:
+def _joined(get: Callable[[], Vocabulary]) -> Callable:
+    """One or two neighbours to one segment; what a task holds is one pair, read from the lists' buffers."""
+
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["k"])
-        parts = [Segment(r["text"], np.asarray(r["ids"], np.uint32), np.asarray(r["ends"], np.int64), np.asarray(r["marks"], np.int64)) for r in rows]
-        ids = encoder(get()).join_all(parts).ids
-        return pa.table({"key": pa.array([rows[0]["key"]], pa.binary()), "ids": _lists([ids])})
+        ks = group.column("k").to_pylist()
+        columns = {c: group.column(c).combine_chunks() for c in ("text", "ids", "ends", "marks")}
+        read = lambda c, i, kind: columns[c][i].values.to_numpy(zero_copy_only=False).astype(kind)
+        order = sorted(range(len(ks)), key=ks.__getitem__)
+        parts = [Segment(columns["text"][i].as_py(), read("ids", i, np.uint32), read("ends", i, np.int64), read("marks", i, np.int64)) for i in order]
+        whole = encoder(get()).join_all(parts)
+        return pa.Table.from_batches([_packed(group.column("key").combine_chunks()[:1], pa.array([ks[0] // 2], pa.int32()), [whole])])
 
     return run
 
@@ -229,12 +238,17 @@ def encode_corpus(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     slim = df.select(*keep, F.col(text).cast("string").alias("__text"))
     is_long = F.coalesce(F.length("__text") > long, F.lit(False))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("__text").schema.fields)
+    longest = slim.agg(F.max(F.length("__text"))).first()[0] or 0
+    if longest <= long:
+        return slim.mapInArrow(_short(get, counts_only), f"{fields}, __out {kind}").withColumnRenamed("__out", out)
     short = slim.where(~is_long).mapInArrow(_short(get, counts_only), f"{fields}, __out {kind}")
 
-    # Long texts: each distinct one is cut, encoded and put together once, then given back to all rows that hold it.
+    # Long texts: each distinct one is cut, its segments are encoded by different tasks and joined level by level, pairs
+    # of neighbours by different tasks again; then it is given back to all rows that hold it.
     rows = slim.where(is_long).withColumn("key", F.unhex(F.sha2("__text", 256)))
     texts = rows.groupBy("key").agg(F.first("__text").alias("text"))
-    pieces = texts.mapInArrow(_cut(long), "key binary, k int, text string").repartition("key", "k")
-    merged = pieces.mapInArrow(_segments(get), SEGMENT).groupBy("key").applyInArrow(_merged(get), "key binary, ids array<int>")
-    whole = rows.drop("__text").join(merged, "key").select(*keep, (F.size("ids").cast("long") if counts_only else F.col("ids")).alias("__out"))
+    parts = texts.mapInArrow(_cut(long), "key binary, k int, text string").repartition("key", "k").mapInArrow(_segments(get), SEGMENT)
+    for _ in range((-(-longest // long) - 1).bit_length()):
+        parts = parts.groupBy("key", F.shiftright("k", 1).alias("__pair")).applyInArrow(_joined(get), SEGMENT)
+    whole = rows.drop("__text").join(parts.select("key", "ids"), "key").select(*keep, (F.size("ids").cast("long") if counts_only else F.col("ids")).alias("__out"))
     return short.unionByName(whole).withColumnRenamed("__out", out)

@@ -91,11 +91,21 @@ def _bounds(nodes: DataFrame) -> DataFrame:
     return low.join(F.broadcast(totals), "field").withColumn("high", F.col("low") + F.col("total_error"))
 
 
+NEAR_BYTES = 64 << 20  # bytes of all candidates up to which they are broadcast; they are few, but may be long
+
+
 def _exact(df: DataFrame, candidates: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Exact counts of the candidates: one pass, one broadcast of a bounded list, partial counts in each task."""
+    """Exact counts of the candidates: one pass, one broadcast of a bounded list, partial counts in each task.
+
+    Candidates of more than NEAR_BYTES are met by a shuffle of counts per value instead.
+    """
+    candidates = candidates.select("field", "item")
+    size = candidates.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     kinds = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("item")) for f in fields))
     items = df.select(F.inline(kinds)).where("item is not null and item <> ''")
-    return items.join(F.broadcast(candidates.select("field", "item")), ["field", "item"]).groupBy("field", "item").agg(F.count("*").alias("n"))
+    if size > NEAR_BYTES:
+        return items.groupBy("field", "item").agg(F.count("*").alias("n")).join(candidates, ["field", "item"], "left_semi")
+    return items.join(F.broadcast(candidates), ["field", "item"]).groupBy("field", "item").agg(F.count("*").alias("n"))
 
 
 def frequent_items(df: DataFrame, fields: Sequence[str], one_in: int, capacity: int | None = None) -> DataFrame:
@@ -107,7 +117,7 @@ def frequent_items(df: DataFrame, fields: Sequence[str], one_in: int, capacity:
     known = _bounds(nodes)
     candidates = cut_lineage(known.where(F.col("high") * one_in >= F.col("n")).select("field", "item", F.col("low").alias("approx"), "n"))
     exact = _exact(df, candidates, fields).withColumnRenamed("n", "count")
-    return exact.join(F.broadcast(candidates), ["field", "item"]).where(F.col("count") * one_in >= F.col("n")).select("field", "item", F.col("count").alias("n"), "approx")
+    return exact.join(candidates, ["field", "item"]).where(F.col("count") * one_in >= F.col("n")).select("field", "item", F.col("count").alias("n"), "approx")
 
 
 def top_k(df: DataFrame, field: str, k: int, capacity: int | None = None, most_capacity: int = 1 << 18) -> DataFrame:

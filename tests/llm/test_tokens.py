@@ -55,3 +55,12 @@ def test_corpus(spark, vocabulary):
         counts = encode_corpus(df, keep=("doc_id", "key"), out="n", counts_only=True, long=long).collect()
         assert sorted((r.doc_id, r.n) for r in counts) == sorted((i, len(e.encode(t))) for i, t in texts)
     assert encode_corpus(df.limit(0)).collect() == []
+
+
+def test_many_segments_join_level_by_level(spark, vocabulary):
+    e = Encoder(vocabulary)
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice(PIECES) for _ in range(n))) for i, n in enumerate((3, 40, 90, 400, 700))] + [(9, "a" * 5000), (10, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = encode_corpus(df, long=37).collect()
+    assert sorted((r.doc_id, r.ids) for r in rows) == [(i, e.encode(t).tolist()) for i, t in texts]
