@@ -58,9 +58,15 @@ def json_sections(text: str, names: tuple[str, ...]) -> dict[str, tuple[int, int
     return spans
 
 
-def _pair(name: str, spec: str | None, text: str, begin: int, end: int):
-    value = re.escape(spec) if spec else "[^\"\n]*"
-    return re.compile(rf'"({re.escape(name)})"\s*:\s*"({value})"').search(text, begin, end)
+_PAIR = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*"((?:[^"\\]|\\.)*)"')
+
+
+def _pairs_of(text: str, begin: int, end: int) -> dict[str, list[re.Match]]:
+    """The string-valued entries of a section by name, in order; read once, whatever the number of packages."""
+    found: dict[str, list[re.Match]] = {}
+    for m in _PAIR.finditer(text, begin, end):
+        found.setdefault(m.group(1), []).append(m)
+    return found
 
 
 def _set_pair(row: dict, file: str, text: str, m: re.Match) -> None:
@@ -90,8 +96,10 @@ def package_json(file: str, text: str, rows: list[dict]) -> None:
     for section, group in sections:
         if section not in spans:
             continue
+        pairs = _pairs_of(text, *spans[section])
         for row in rows:
-            hit = next((m for t in row["target_versions"] if (m := _pair(row["name"], t, text, *spans[section]))), None)
+            own = pairs.get(row["name"], ())
+            hit = next((m for t in row["target_versions"] for m in own if t in ("", m.group(2))), None)
             if hit:
                 row["is_direct"] = True
                 if group == "prod" or row["block"] is None:
@@ -104,12 +112,13 @@ def composer_json(file: str, text: str, rows: list[dict]) -> None:
     json.loads(text)
     spans = json_sections(text, ("require", "require-dev"))
     for section in ("require", "require-dev"):
-        for row in rows if section in spans else ():
+        pairs = _pairs_of(text, *spans[section]) if section in spans else {}
+        for row in rows if pairs else ():
             if section == "require-dev" and row["block"] is not None:
                 continue
-            if hit := _pair(row["name"], None, text, *spans[section]):
+            if hits := pairs.get(row["name"]):
                 row["is_direct"] = True
-                _set_pair(row, file, text, hit)
+                _set_pair(row, file, text, hits[0])
 
 
 # --- Pipfile, pyproject.toml, build.gradle --------------------------------------------------------------------------
@@ -190,7 +199,7 @@ def csproj_references(text: str) -> dict[str, tuple[str, int, int, int, int]]:
     def close(tag):
         if tag == "PackageReference" and at:
             index = parser.CurrentByteIndex
-            end = raw.find(b">", index) + 1 if raw[index : index + 2] == b"</" else raw.find(b">", index) + 1
+            end = raw.find(b">", index) + 1
             line = raw.count(b"\n", 0, end) + 1
             column = len(raw[starts[line - 1] : end].decode("utf-8", "replace")) + 1
             name = at["fields"].get("Include") or at["attributes"].get("Include")
