@@ -11,7 +11,7 @@ about. Inside a code block no line break is an end, so a text that stops there h
 a cut (white space, an ellipsis, a bracketed ellipsis, a broken character) are taken off first.
 
 A field limit also shows in lengths: where a length in characters or bytes holds far more of a source's texts than
-others do (``pile_ups``), a text of that length without a closing mark is cut unless its trigram mostly ends sentences.
+the lengths near it do (``pile_ups``), a text of that length without a closing mark is cut unless its trigram mostly ends sentences.
 
 Defined results: null, empty and blank texts are no case; each row is judged on its own, repeated rows alike.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lockgrain.session import cut_lineage
 
@@ -143,19 +144,25 @@ FROM (
 """
 
 
-def pile_ups(docs: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
-    """(source, unit, size): lengths that at least ``share`` of a source's texts have, ``least`` at the fewest."""
+def pile_ups(docs: DataFrame, around: int = 32, sigmas: float = 6.0, times: float = 5.0) -> DataFrame:
+    """(source, unit, size): lengths in characters or bytes that far more of a source's texts have than lengths near them.
+
+    A length's texts are held against the mean over the lengths up to ``around`` shorter or longer: they must exceed it by
+    ``sigmas`` times the root of that mean (plus one, for lengths that hardly occur), as counts that fall by chance hardly
+    ever do, and be ``times`` that mean, as the slope of an ordinary distribution isn't. The test follows the counts, so
+    the same mix is judged alike in a source of any size.
+    """
     texts = docs.where("text is not null and text <> ''")
-    return _piles(texts.select("source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")), least, share)
+    return _piles(texts.select("source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")), around, sigmas, times)
 
 
-def _piles(lengths: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
+def _piles(lengths: DataFrame, around: int = 32, sigmas: float = 6.0, times: float = 5.0) -> DataFrame:
     """pile_ups from (source, chars, bytes)."""
     sizes = lengths.select(F.coalesce("source", F.lit("")).alias("source"), F.expr("stack(2, 'chars', chars, 'bytes', bytes)").alias("unit", "size"))
     counts = sizes.groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("source", "unit").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    # a source of few lengths throughout (fixed-size records) has no pile-up: the length must stand out from the mean
-    return counts.join(totals, ["source", "unit"]).where((F.col("n") >= least) & (F.col("n") >= share * F.col("total")) & (F.col("n") * F.col("kinds") >= 5 * F.col("total"))).select("source", "unit", "size")
+    near = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-around, around)
+    usual = (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * around)
+    return counts.withColumn("usual", usual).where((F.col("n") - F.col("usual") > sigmas * F.sqrt(F.col("usual") + 1)) & (F.col("n") >= times * F.col("usual"))).select("source", "unit", "size")
 
 
 def verdicts(docs: DataFrame, rate: float = 0.02, share: float = 0.001) -> DataFrame:
@@ -169,7 +176,7 @@ def verdicts(docs: DataFrame, rate: float = 0.02, share: float = 0.001) -> DataF
     spark = docs.sparkSession
     raw = cut_lineage(trigram_counts(docs))
     finals = cut_lineage(final_words(docs)).where("c is not null")  # behind the checkpoint, else words would be read twice
-    piles = _piles(finals)  # at most 1 / share lengths a source and unit
+    piles = _piles(finals)
     by_unit = lambda unit: piles.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"piled_{unit}"))
     ends = finals.withColumn("source", F.coalesce("source", F.lit(""))).join(by_unit("chars"), ["source", "chars"], "left").join(by_unit("bytes"), ["source", "bytes"], "left")
     ends = ends.withColumn("piled", F.coalesce("piled_chars", "piled_bytes", F.lit(False)))
