@@ -8,6 +8,9 @@ execution may split them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +58,39 @@ def connected_components(edges: DataFrame, a: str | Column = "a", b: str | Colum
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
+FEW_EDGES = 1_000_000  # pairs of numbers (16 MB) up to which one task joins them, instead of rounds of small jobs
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the edges of one task by union and find, each node once."""
+    head: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        top = n
+        while (up := head.setdefault(top, top)) != top:
+            top = up
+        while head[n] != top:
+            head[n], n = top, head[n]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                head[max(x, y)] = min(x, y)
+    nodes = list(head)
+    for i in range(0, len(nodes), 50_000):
+        some = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(n) for n in some], pa.int64())], names=["node", "component"])
+
+
 def linked_components(links: DataFrame) -> DataFrame:
     """(node, component, parents) of every node of distinct (k, p) links from a child to its parent or null.
 
     Each node follows one of its parents; pointers double, so after as many rounds as the logarithm of the depth every
     node of a tree knows its root. Only the links of nodes with several parents and of circles are left for the search
-    among roots. ``parents`` is the number of links to parents.
+    among roots: up to FEW_EDGES different ones are joined by one task, more by ``connected_components``; the components
+    are the same. ``parents`` is the number of links to parents.
     """
     ends = links.select("k", "p").union(links.where("p is not null").select("p", F.lit(None).cast("long")))
     nodes = cut_lineage(ends.groupBy("k").agg(F.min("p").alias("up"), F.count("p").alias("parents")))
@@ -81,7 +111,9 @@ def linked_components(links: DataFrame) -> DataFrame:
     loose = loose.join(labels.withColumnsRenamed({"node": "k", "label": "a"}), "k").join(labels.withColumnsRenamed({"node": "p", "label": "b"}), "p")
     loose = cut_lineage(loose.where("a <> b").select("a", "b").distinct())
     named = labels.join(nodes.select(F.col("k").alias("node"), "parents"), "node")
-    if loose.isEmpty():
+    many = loose.count()
+    if many == 0:
         return named.select("node", F.col("label").alias("component"), "parents")
-    joined = connected_components(loose).withColumnsRenamed({"node": "label", "component": "joined"})
+    found = loose.coalesce(1).mapInArrow(_united, "node long, component long") if many <= FEW_EDGES else connected_components(loose)
+    joined = found.withColumnsRenamed({"node": "label", "component": "joined"})
     return named.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component"), "parents")

@@ -169,9 +169,12 @@ def test_long_chain_and_many_roots_are_never_gathered(spark):
     assert out["r0"].back_edges == ["r1"] and sum(bool(r.back_edges) for r in out.values()) == 1 and out["root7"].depth == 0
 
 
-def test_components_of_links(spark):
+def test_components_of_links(spark, monkeypatch):
+    from lockgrain.operators import components
+
     rng = random.Random(2)
-    for single in (True, False):
+    for single, few in ((True, 0), (False, 0), (True, 1000), (False, 1000)):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
         pairs = set()
         for i in range(80):
             for _ in range(1 if single else rng.randint(1, 2)):
